@@ -62,9 +62,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word in raw, and the number of the first word of each text (with a final total)."""
-    inside = ~SPACE[raw]
+def words(raw: np.ndarray, at: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word in raw, and the number of the first word of each text (with a final total).
+
+    outside: which bytes are in no word, if not white space.
+    """
+    inside = ~outside[raw]
     edge = np.empty(len(raw) + 1, bool)
     edge[0] = edge[-1] = False
     if len(raw):

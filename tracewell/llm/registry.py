@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, media, packing
+from . import bpe, chat, media, packing, secrets
 
-MODULES = [packing, bpe, chat, media]
+MODULES = [packing, bpe, secrets, chat, media]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
