@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, media, packing, secrets, toxicity
+from . import bpe, chat, media, neardup, packing, secrets, toxicity
 
-MODULES = [packing, toxicity, bpe, secrets, chat, media]
+MODULES = [packing, neardup, toxicity, bpe, secrets, chat, media]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
