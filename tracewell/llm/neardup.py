@@ -268,10 +268,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = """
 with recursive split as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\\x20\\x09-\\x0D]+'), x -> x <> '') as w from documents),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
 shingle as (
   select distinct doc_id, s from (
-    select doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+    select doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
       when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from split)),
 size as (select doc_id, count(*) as n from shingle group by doc_id),
 pair as (
