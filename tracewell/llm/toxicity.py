@@ -5,7 +5,8 @@ inserted or missing characters stays close to its plain form. Landmarks are stri
 in texts labelled toxic, chosen greedily so that together they reach as many of them as they can, and frequent words of
 the other texts. A word's kernel values against the landmarks are evaluated where it has all letters of a landmark but
 one in their order (a bit-parallel longest-common-subsequence test), else 0. A text's vector holds the maximum over its
-words and their sum in relation to its length; the Nystroem map whitens both by the landmarks' own kernel matrix; the
+words and their sum in relation to its length, for each landmark, and the maximum and sum over all landmarks taken from
+toxic texts; the Nystroem map whitens the former by the landmarks' own kernel matrix; the
 machine is trained on such vectors of labelled texts, and a logistic curve turns its margin into a score from 0 to 1.
 
 Only fitting is bounded (`most` labelled texts of either class, by a hash of their id). Every text is scored whole, in
@@ -87,6 +88,7 @@ def reachable(s: np.ndarray, landmarks: list[str]) -> np.ndarray:
 @dataclass
 class Model:
     landmarks: list[str]
+    bad: int  # so many landmarks, the first, are from toxic texts
     own: np.ndarray  # each landmark's kernel with itself
     weights: np.ndarray  # of kernel values, the Nystroem map included
     bias: float
@@ -121,60 +123,78 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
-def pool(vectors: np.ndarray, times: np.ndarray, total: int) -> np.ndarray:
-    """A text's vector: for each landmark the largest value, and the sum over words in relation to the text's length."""
-    return np.concatenate([vectors.max(0), np.minimum(PER * (times @ vectors) / (total + PER), 3)])
+def pool(vectors: np.ndarray, times: np.ndarray, total: int, bad: int) -> np.ndarray:
+    """A text's vector: for each landmark the largest value, and the sum over words in relation to the text's length;
+    then the largest of the first `bad` landmarks' values, and their sum."""
+    most = vectors.max(0)
+    own = most[:bad]
+    return np.concatenate([most, np.minimum(PER * (times @ vectors) / (total + PER), 3), [own.max(initial=0), min(own.sum(), 3)]])
 
 
-def choose_landmarks(bags: list[set[str]], toxic: np.ndarray, wanted: int, others: int) -> list[str]:
+def choose_landmarks(known: list[str], bags: list[np.ndarray], toxic: np.ndarray, wanted: int, others: int) -> tuple[list[str], int]:
     """Beginnings of words (4 to 8 letters) that stand mostly in toxic texts, either at all or in two different words
     of a text; greedily those that reach the most toxic texts not yet reached, less a penalty for other texts. Each is
-    drawn out as long as nearly all its texts stay. Then the most widespread words of the other texts. A mark stands for the word's start."""
-    grams: list[set[tuple[str, int]]] = []
-    for bag in bags:
-        count = Counter(w[:n] for w in bag if len(w) >= 4 for n in range(4, min(8, len(w)) + 1))
-        grams.append({(g, 1) for g in count} | {(g, 2) for g, n in count.items() if n > 1})
-    bad, good = Counter(), Counter()
-    for g, y in zip(grams, toxic):
-        (bad if y else good).update(g)
+    drawn out as long as nearly all its texts stay. Then the most widespread words of the other texts. A mark stands
+    for the word's start. known: all words; bags: each text's distinct words, as numbers of known. With it comes how many are from toxic texts."""
+    sizes = range(4, 9)
+    codes_of = np.array([[hash(w[:n]) & ~1 if len(w) >= n else 0 for n in sizes] for w in known], np.int64).reshape(-1, len(sizes))
+
+    def grams(bag: np.ndarray) -> np.ndarray:
+        """Distinct beginnings of a text's words; an odd number for those of two words and more."""
+        own, n = np.unique(codes_of[bag].ravel(), return_counts=True)
+        return np.concatenate([own[own != 0], own[(own != 0) & (n > 1)] | 1])
+
     n_bad, n_good = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    least = 2 if n_bad < 60 else 3 if n_bad < 300 else 5
-    scale = n_bad / n_good
-    fits = {g for g, n in bad.items() if n >= least and n >= 6 * (good[g] + 0.1) * scale}
-    left = {int(i) for i in np.flatnonzero(toxic)}
-    own = {i: grams[i] & fits for i in left}
-    within: dict[tuple[str, int], set[int]] = {}
-    for i in left:
-        for g in own[i]:
-            within.setdefault(g, set()).add(i)
-    chosen: list[str] = []
-    gain = {g: len(x) for g, x in within.items()}
-
-    def worth(g: tuple[str, int]) -> float:
-        return gain[g] - 2 * good[g] * min(1, scale * 4)
+    least, scale = 2 if n_bad < 60 else 3 if n_bad < 300 else 5, n_bad / n_good
+    of = {int(i): grams(bags[i]) for i in np.flatnonzero(toxic)}
+    keys, bad = np.unique(np.concatenate(list(of.values())), return_counts=True)
+    keys, bad = keys[bad >= least], bad[bad >= least]
+    good = np.zeros(len(keys), np.int64)
+    for i in np.flatnonzero(~toxic):
+        g = grams(bags[i])
+        at = np.searchsorted(keys, g)
+        at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == g)] if len(keys) else at[:0]
+        good[at] += 1
+    fit = bad >= 6 * (good + 0.1) * scale
+    count = {int(k): (int(n), int(m)) for k, n, m in zip(keys[fit], bad[fit], good[fit])}
+    word, size = np.nonzero(np.isin(codes_of, [k & ~1 for k in count]))
+    name = {int(codes_of[w, n]): known[w][: sizes[n]] for w, n in zip(word, size)}
+    name |= {k: name[k & ~1] for k in count}
+    own = {i: [int(k) for k in g[np.isin(g, list(count))]] for i, g in of.items()}
+    within: dict[int, set[int]] = {k: set() for k in count}
+    for i, g in own.items():
+        for k in g:
+            within[k].add(i)
+    gain = {k: len(x) for k, x in within.items()}
+    left, chosen = set(own), []
+
+    def drawn_out(k: int) -> str:
+        return max((name[j] for j in count if j & 1 == k & 1 and name[j].startswith(name[k]) and count[j][0] >= 0.85 * count[k][0]), key=len)
+
+    def worth(k: int) -> float:
+        return gain[k] - 2 * count[k][1] * min(1, scale * 4)
 
     while gain and len(chosen) < wanted:
-        best = max(gain, key=lambda g: (worth(g), -g[1], len(g[0]), g[0]))
+        best = max(gain, key=lambda k: (worth(k), -(k & 1), len(name[k]), name[k]))
         if worth(best) < least:
             break
         for i in within[best] & left:
             left.discard(i)
-            for g in own[i]:
-                gain[g] -= 1
-        longer = [g for g in fits if g[1] == best[1] and g[0].startswith(best[0]) and bad[g] >= 0.85 * bad[best]]
-        chosen.append(max(longer, key=lambda g: len(g[0]))[0])
+            for k in own[i]:
+                gain[k] -= 1
+        chosen.append(drawn_out(best))
     # every widespread insult is a landmark, also where others already reach its texts
-    for g in sorted((g for g in fits if bad[g] >= max(least, 0.03 * n_bad) and bad[g] >= 40 * good[g] * scale), key=lambda g: (-bad[g], -len(g[0]), g)):
-        if len(chosen) >= wanted:
-            break
-        if not any(g[0].startswith(c[:4]) for c in chosen):
-            chosen.append(max((h for h in fits if h[0].startswith(g[0]) and bad[h] >= 0.85 * bad[g]), key=lambda h: len(h[0]))[0])
-    common = Counter(w for bag, y in zip(bags, toxic) if not y for w in bag if 4 <= len(w) <= 8)
-    chosen = list(dict.fromkeys(chosen))
-    return [START + g for g in chosen] + [START + w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:others] if w not in chosen]
+    wide = [k for k, (n, m) in count.items() if n >= max(least, 0.03 * n_bad) and n >= 40 * m * scale]
+    for k in sorted(wide, key=lambda k: (-count[k][0], -len(name[k]), name[k], k & 1)):
+        if len(chosen) < wanted and not any(name[k].startswith(c[:4]) for c in chosen):
+            chosen.append(drawn_out(k))
+    texts = np.bincount(np.concatenate([b for b, y in zip(bags, toxic) if not y] or [np.zeros(0, np.int64)]), minlength=len(known))
+    common = sorted((w for w in np.argsort(-texts, kind="stable")[:5000] if 4 <= len(known[w]) <= 8), key=lambda w: (-texts[w], known[w]))
+    marks = [START + g for g in dict.fromkeys(chosen)]
+    return marks + [START + known[w] for w in common[:others] if known[w] not in chosen], len(marks)
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, float]:
+def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 40, seed: int = 7) -> tuple[np.ndarray, float]:
     """A linear machine with hinge loss by dual coordinate descent; classes weigh alike."""
     x = np.hstack([x, np.ones((len(x), 1))])
     sign = np.where(y, 1.0, -1.0)
@@ -210,12 +230,12 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = [_words(text) for text in batch.column("text").to_pylist()]
-            words = pa.array([list(c) for c in counts], pa.list_(pa.string()))
-            times = pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))
+            words = pa.array([" ".join(c) for c in counts], pa.string())
+            times = pa.array([np.array(list(c.values()), "<u4").tobytes() for c in counts], pa.binary())
             total = pa.array([len(_chunks(text)) for text in batch.column("text").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), words, times, total], ["toxic", "words", "times", "total"])
 
-    return rows.mapInArrow(bags, "toxic int, words array<string>, times array<long>, total long")
+    return rows.mapInArrow(bags, "toxic int, words string, times binary, total long")
 
 
 def _chunks(text: str | None) -> list[bytes]:
@@ -237,31 +257,37 @@ def _words(text: str | None) -> Counter[str]:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, wanted: int = 48, others: int = 2) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 1500, wanted: int = 48, others: int = 2) -> Model:
     """Without texts of both classes the model gives every text the same score: the share of toxic ones (or 0)."""
     rows = labelled(docs, labels, most).collect()
     y = np.array([r[0] == 1 for r in rows], bool)
-    bags = [set(r[1]) for r in rows]
     if not y.any() or y.all():
         share = float(y.mean()) if len(y) else 0.0
-        return Model([], np.zeros(0), np.zeros(0), 0.0, 0.0, 30.0 if share == 1 else -30.0)
-    marks = choose_landmarks(bags, y, wanted, others)
+        return Model([], 0, np.zeros(0), np.zeros(0), 0.0, 0.0, 30.0 if share == 1 else -30.0)
+    number: dict[str, int] = {}
+    bags = [np.fromiter((number.setdefault(w, len(number)) for w in r[1].split()), np.int64) for r in rows]
+    counts, totals = [np.frombuffer(r[2], "<u4").astype(np.float32) for r in rows], [r[3] for r in rows]
+    del rows
+    known = list(number)
+    marks, bad = choose_landmarks(known, bags, y, wanted, others)
+    if not marks:
+        return Model([], 0, np.zeros(0), np.zeros(0), 0.0, 0.0, -30.0)
     width = max(map(len, marks))
     t = codes(marks, width)
     pairs = np.stack(np.meshgrid(np.arange(len(marks)), np.arange(len(marks)), indexing="ij"), -1).reshape(-1, 2)
     gram = kernel(t[pairs[:, 0]], np.where(t == -1, -2, t)[pairs[:, 1]]).reshape(len(marks), -1).astype(float)
     own = np.diag(gram).astype(np.float32)
-    model = Model(marks, own, np.zeros(2 * len(marks)), 0.0, 1.0, 0.0)
-    known = sorted(set().union(*bags))
-    where = {w: i for i, w in enumerate(known)}
+    model = Model(marks, bad, own, np.zeros(2 * len(marks) + 2), 0.0, 1.0, 0.0)
     vectors = model.word_vectors(known)
-    x = np.zeros((len(rows), 2 * len(marks)))
-    for i, (_, words, times, total) in enumerate(rows):
-        if words:
-            x[i] = pool(vectors[[where[w] for w in words]], np.array(times, np.float32), total)
+    x = np.zeros((len(bags), 2 * len(marks) + 2))
+    for i, bag in enumerate(bags):
+        if len(bag):
+            x[i] = pool(vectors[bag], counts[i], totals[i], bad)
     value, basis = np.linalg.eigh(gram / np.sqrt(np.outer(own, own)))
     half = basis @ np.diag(1 / np.sqrt(np.maximum(value, 0.05))) @ basis.T
-    nystroem = np.kron(np.eye(2), half)
+    nystroem = np.eye(2 * len(marks) + 2)
+    for a in (0, len(marks)):
+        nystroem[a : a + len(marks), a : a + len(marks)] = half
     w, bias = train_svm(x @ nystroem, y)
     model.weights, model.bias = nystroem @ w, bias
     model.slope, model.shift = logistic(x @ model.weights + bias, y.astype(float))
@@ -294,7 +320,7 @@ class _Scorer:
             new = list(seen)
         if new:
             self.learn(new)
-        x = np.zeros((len(texts), 2 * len(self.model.landmarks)))
+        x = np.zeros((len(texts), len(self.model.weights)))
         for i, parts in enumerate(split):
             at = np.fromiter(map(self.at.__getitem__, parts), np.int64, len(parts))
             rows, times = np.unique(at[at > 0], return_counts=True)
@@ -302,7 +328,7 @@ class _Scorer:
             if np.count_nonzero(single := at == -1) >= 3 and (spelt := _spelt(single, parts)):
                 vectors, times = np.concatenate([vectors, self.model.word_vectors(spelt)]), np.append(times, np.ones(len(spelt), np.int64))
             if len(vectors):
-                x[i] = pool(vectors, times.astype(np.float32), len(parts))
+                x[i] = pool(vectors, times.astype(np.float32), len(parts), self.model.bad)
         return self.model.score(x)
 
 
