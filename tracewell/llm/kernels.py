@@ -110,7 +110,7 @@ def window_owner(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]
     return np.arange(counts.sum()) - skip[text] + first[:-1][text], text
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches by bytes of text, so that what a kernel holds doesn't grow with rows a batch; one text stays whole."""
     for batch in batches:
         column = batch.column(text)
