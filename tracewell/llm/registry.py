@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, media, neardup, packing, secrets, substrings, toxicity
+from . import ann, bpe, chat, lmscore, media, neardup, packing, secrets, substrings, toxicity
 
-MODULES = [packing, neardup, substrings, toxicity, bpe, secrets, chat, media]
+MODULES = [packing, neardup, ann, substrings, toxicity, bpe, secrets, chat, media, lmscore]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
