@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,8 +75,6 @@ class Sieve:
         found = keys.select(cell.alias("cell")).where(F.col("cell").isNotNull()).groupBy((F.col("cell") / 4096).cast("int").alias("page")).agg(
             F.collect_set(F.pmod("cell", F.lit(4096)).cast("short")).alias("cells")
         )
-        import numpy as np
-
         bits = np.zeros(CELLS, bool)
         for page, cells in found.collect():
             bits[page * 4096 + np.asarray(cells, np.int64)] = True
@@ -85,16 +84,22 @@ class Sieve:
     def passes(self, column: str) -> F.Column:
         shared = self.bits
 
-        @F.pandas_udf(T.BooleanType())
-        def sieve(cells: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            import numpy as np
-
+        @F.arrow_udf(T.BooleanType())
+        def sieve(cells: Iterator[pa.Array]) -> Iterator[pa.Array]:
             bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
             for c in cells:
-                yield pd.Series(bits[c.to_numpy()])
+                yield pa.array(bits[c.to_numpy(zero_copy_only=False)])
 
         return sieve(F.pmod(F.xxhash64(F.col(column)), F.lit(CELLS)).cast("int"))
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Documents can be long: where the session leaves Spark's 10,000 rows an Arrow batch, take 1,000."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, "1000")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -7,6 +7,8 @@ whatever its number of words. Texts of any length are handled; null counts as em
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,7 +113,19 @@ def window_owner(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts batches by bytes of text, so that what a kernel holds doesn't grow with rows a batch; one text stays whole."""
+    """Cuts batches by bytes of text, so that what a kernel holds doesn't grow with rows a batch; one text stays whole.
+    After the last one it gives freed memory back, as the worker process lives on."""
+    yield from _cut(batches, text, limit)
+    give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = batch.column(text)
         size = np.fromiter((0 if v is None else v for v in _lengths(column)), np.int64, len(column))
