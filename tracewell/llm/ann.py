@@ -2,8 +2,9 @@
 
 A vector, less the mean of all vectors, is rotated at random and kept as one bit a dimension, with two scalars: its
 length and the cosine between it and its code. From these an unbiased estimate of its inner product with a query
-follows, with an error bound that falls with the dimension. Within a block of vectors a query's 20th best lower bound
-is a floor; vectors whose upper bound reaches it are reranked by their original numbers in double precision.
+follows, with an error bound that falls with the dimension. Within a block of vectors the k-th best true inner product
+among the vectors of highest estimate is a floor; all vectors whose upper bound reaches it are reranked by their
+original numbers in double precision.
 
 Queries and vectors are dealt out in blocks of bounded size and every block of queries meets every block of vectors in
 one task; each gives its best k, and the best of these are kept. The index holds every row; only the mean is shared.
@@ -85,12 +86,17 @@ def index(rows: DataFrame, centre: dict[int, tuple[int, np.ndarray]]) -> DataFra
     return rows.select("id", "v").mapInArrow(encode, "id long, dim int, code binary, length double, cosine double, v array<double>")
 
 
-def exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Inner products of pairs of rows in double precision, summed in the order of the components."""
-    total = np.zeros(len(q))
-    for k in range(q.shape[1]):
-        total += q[:, k] * v[:, k]
-    return total
+def exact(q: np.ndarray, v: np.ndarray, row: np.ndarray, at: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+    """Inner products q[:, row] . v[:, at] in double precision, summed in the order of the components; q and v hold a
+    component a row, so that the gathers stay in the cache."""
+    out = np.empty(len(row))
+    for x in range(0, len(row), step):
+        r, a = row[x : x + step], at[x : x + step]
+        total = np.zeros(len(r))
+        for k in range(len(q)):
+            total += q[k].take(r) * v[k].take(a)
+        out[x : x + step] = total
+    return out
 
 
 def _search(k: int, mean: dict[int, np.ndarray], sure: float, slab: int = 128):
@@ -109,18 +115,23 @@ def _search(k: int, mean: dict[int, np.ndarray], sure: float, slab: int = 128):
             length, cosine = (own.column(c).to_numpy().astype(np.float32) for c in ("length", "cosine"))
             gain = length / (np.maximum(cosine, 1e-6) * math.sqrt(dim))
             slack = length * np.sqrt(np.maximum(1 - cosine**2, 0)) / np.maximum(cosine, 1e-6) / math.sqrt(max(dim - 1, 1))
+            qt, vt = np.ascontiguousarray(q.T), np.ascontiguousarray(v.T)
             turned = (q @ rotation(dim)).astype(np.float32)
             base, size = (q @ mean[dim]).astype(np.float32), np.sqrt((q**2).sum(1)).astype(np.float32)
             for a in range(0, len(q), slab):
                 about = (turned[a : a + slab] @ signs.T) * gain + base[a : a + slab, None]
                 error = sure * size[a : a + slab, None] * slack + 1e-5 * (np.abs(about) + 1)
-                low = about - error
-                low[qi[a : a + slab, None] == vi] = -np.inf
-                floor = np.partition(low, len(v) - k, axis=1)[:, len(v) - k] if len(v) > k else np.full(len(low), -np.inf, np.float32)
-                row, at = np.nonzero((about + error >= floor[:, None]) & (qi[a : a + slab, None] != vi))
-                score = np.empty(len(row))
-                for x in range(0, len(row), 100_000):
-                    score[x : x + 100_000] = exact(q[a + row[x : x + 100_000]], v[at[x : x + 100_000]])
+                own = qi[a : a + slab, None] == vi
+                about[own] = -np.inf
+                few = min(len(v), 3 * k + 1)
+                best = np.argpartition(about, len(v) - few, axis=1)[:, len(v) - few :]
+                first = exact(qt, vt, np.repeat(np.arange(a, a + len(about)), few), best.ravel()).reshape(-1, few)
+                first[np.take_along_axis(own, best, 1)] = -np.inf
+                floor = np.partition(first, max(few - k, 0), axis=1)[:, max(few - k, 0)]
+                row, at = np.nonzero((about + error >= floor[:, None]) & ~own)
+                score = exact(qt, vt, a + row, at)
+                good = score >= floor[row]
+                row, at, score = row[good], at[good], score[good]
                 order = np.lexsort((vi[at], -score, row))
                 row, at, score = row[order], at[order], score[order]
                 place = np.arange(len(row)) - np.searchsorted(row, row)
