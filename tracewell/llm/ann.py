@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-SURE = 3.0  # standard deviations of the estimate within which the bounds lie
+SURE = 3.5  # standard deviations of the estimate within which the bounds lie
 
 
 def rotation(dim: int, seed: int = 17) -> np.ndarray:
