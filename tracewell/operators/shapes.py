@@ -6,7 +6,12 @@ A shape is a pattern on the one-character-a-byte view and a check of what it cap
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +23,6 @@ VAULT_ESCAPED = VAULT.replace('"', '\\\\"')
 ACCESS_KEY, TOKEN = r"\bAKIA[A-Z0-9]{16}\b", r"\bgh[pousr]_[A-Za-z0-9]{36}\b"
 PEM = r"-----BEGIN ((?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY)-----\s+([A-Za-z0-9+/=\s]+?)-----END \1-----"
 RECORD = r"(?s)(?=(0.{48}\x08.{8}\x00{4}.{4}))"
-KEYSTORE = r'\{[^{}]*(?:\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}[^{}]*)*"ciphertext"[^{}]*(?:\{[^{}]*\}[^{}]*)*\}[^{}]*\}'
 
 
 def matches(raw: Column, pattern: str, group: int = 0) -> Column:
@@ -96,9 +100,42 @@ KEYSTORE_SCHEMA = (
 )
 
 
+def enclosing_objects(raw: str, anchor: str = '"ciphertext"', reach: int = 2048, tries: int = 32) -> list[tuple[int, str]]:
+    """(offset, text) of the nearest JSON object around each anchor that has an address and a crypto object: up to
+    `tries` opening braces back, within `reach`."""
+    out: list[tuple[int, str]] = []
+    at = raw.find(anchor)
+    while at >= 0:
+        start = at
+        for _ in range(tries):
+            start = raw.rfind("{", max(0, at - reach), start)
+            if start < 0:
+                break
+            try:
+                value, size = json.JSONDecoder().raw_decode(raw[start : start + 2 * reach])
+            except ValueError:
+                continue
+            keys = {k.lower() for k in value}
+            if {"address", "crypto"} <= keys and start + size > at:
+                if not out or out[-1][0] != start:
+                    out.append((start, raw[start : start + size]))
+                break
+        at = raw.find(anchor, at + 1)
+    return out
+
+
 def keystores(sources: DataFrame) -> DataFrame:
     """JSON objects around "ciphertext" with a 40-digit address and a usable cipher and kdf; text is the object."""
-    rows = found(sources, "eth-keystore", KEYSTORE, '"ciphertext"').withColumn("json", F.from_json(F.lower("text"), KEYSTORE_SCHEMA))
+
+    def objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(t, o, x) for t, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for o, x in enclosing_objects(raw)]
+            cols = list(zip(*found)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string()))], ["target", "offset", "text"])
+
+    rows = sources.where(F.col("raw").contains('"ciphertext"')).select("target", "raw").mapInArrow(objects, "target string, offset bigint, text string")
+    rows = rows.select("target", F.lit("eth-keystore").alias("needle"), "offset", F.length("text").alias("match_length"), "text")
+    rows = rows.withColumn("json", F.from_json(F.lower("text"), KEYSTORE_SCHEMA))
     good = F.col("json.address").rlike("^(0x)?[0-9a-f]{40}$") & F.col("json.crypto.ciphertext").rlike("^[0-9a-f]+$") & F.col("json.crypto.cipher").isNotNull() & F.col("json.crypto.kdf").isNotNull()
     return rows.where(F.coalesce(good, F.lit(False)))
 
@@ -146,7 +183,6 @@ def descriptor_checksum(body: str) -> str | None:
 
 def descriptors(sources: DataFrame) -> DataFrame:
     """Checksummed descriptors: target, needle, offset, match_length; the nearest of up to 64 bodies before the mark."""
-    import re
 
     def valid(text: str) -> int:
         body, _, want = text.rpartition("#")

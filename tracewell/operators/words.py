@@ -105,7 +105,7 @@ def share_checksum_ok(ixs: Column) -> Column:
         values = F.concat(F.array(*[F.lit(b).cast("bigint") for b in prefix]), F.transform(ixs, lambda x: x.cast("bigint")))
         return F.aggregate(values, F.lit(1).cast("bigint"), step)
 
-    second, third, fourth = (F.element_at(ixs, k) for k in (2, 3, 4))
+    second, third, fourth = (F.try_element_at(ixs, F.lit(k)) for k in (2, 3, 4))
     extendable = F.shiftright(second, 4).bitwiseAND(F.lit(1)) == 1
     threshold = F.shiftright(third, 2).bitwiseAND(F.lit(15))
     groups = F.shiftleft(third.bitwiseAND(F.lit(3)), 2).bitwiseOR(F.shiftright(fourth, 8))
@@ -157,7 +157,7 @@ def near_misses(toks: DataFrame, words: DataFrame, n: int, exact: DataFrame) ->
         F.collect_list("gap").over(own).alias("gaps"), F.lag("gap").over(w).alias("before"), F.lead("gap", n).over(w).alias("after"),
     )
     out = out.where((F.col("size") == n) & F.col("unknown").between(1, 2) & (F.col("end") - F.col("start") <= MAX_SPAN))
-    first, last = F.element_at("gaps", 1) == 1, F.element_at("gaps", -1) == 1
+    first, last = F.try_element_at("gaps", F.lit(1)) == 1, F.try_element_at("gaps", F.lit(-1)) == 1
     out = out.where(~(first & (F.coalesce("after", F.lit(1)) == 0)) & ~(last & (F.coalesce("before", F.lit(1)) == 0)))
     spans = out.select("target", F.lit(f"bip39-{n}-near-miss").alias("needle"), "start", "end", F.expr("transform(filter(sequence(0, size(gaps) - 1), i -> gaps[i] = 1), i -> i)").alias("gaps"))
     return without_overlap(spans, exact)

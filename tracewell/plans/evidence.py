@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..operators.shapes import descriptor_checksum
 
 # The literal needles, in the order of detection.
 NEEDLES = [
@@ -74,6 +75,7 @@ KEYSTORE = (
 )
 RECORD = "0" + "k" * 48 + "\x08" + "saltsalt" + "\0\0\0\0" + "aa\0\0"
 PEM = "-----BEGIN PRIVATE KEY-----\n" + base64.b64encode(b"\x30\x20" + bytes(range(32))).decode() + "\n-----END PRIVATE KEY-----"
+DESCRIPTOR = (_body := "pkh(02" + "5a" * 32 + ")") + "#" + descriptor_checksum(_body)
 SEED = seed_phrase(bytes(range(1, 17)))
 PLANTS = [
     *NEEDLES,
@@ -91,6 +93,7 @@ PLANTS = [
     "ghp_" + "A1b2" * 9,
     words(SEED[:-1]) + " zzzz",
     "\nwallet.dat\n",
+    DESCRIPTOR,
 ]
 
 
