@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import hits, traces
+from . import containers, hits, traces
 
-MODULES = [hits, traces]
+MODULES = [hits, traces, containers]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
