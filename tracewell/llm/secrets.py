@@ -63,10 +63,10 @@ def pair_counts(docs: DataFrame) -> np.ndarray:
     return out.reshape(N, N)
 
 
-def text_model(counts: np.ndarray) -> np.ndarray:
-    """log P(next | before) among code characters, add-one smoothed."""
-    own = counts[:-1, :-1] + 1
-    return np.log(own / own.sum(1, keepdims=True))
+def text_model(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pair counts, counts of first characters, and smoothed shares of single characters, of code characters."""
+    own = counts[:-1, :-1]
+    return own, own.sum(1), (own.sum(0) + 1) / (own.sum() + len(own))
 
 
 def encoding(run: str) -> tuple[str, str]:
@@ -99,10 +99,16 @@ def battery(run: str, alphabet: str) -> float:
     return math.exp(-half) * (1 + half + half * half / 2)
 
 
-def unlike_text(run: str, alphabet: str, model: np.ndarray) -> float:
-    """-log10 of a p-value for "ordinary text": the likelihood ratio of uniform text against the pair model."""
+def unlike_text(run: str, alphabet: str, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
+    """-log10 of a p-value for "ordinary text": the likelihood ratio of uniform text against the pair model, backed off
+    to single characters where a first character is rare, and without what the run itself adds to the counts."""
+    pairs, firsts, single = model
     s = _symbol[np.frombuffer(run.encode(), np.uint8)]
-    ratio = -(len(run) - 1) * math.log(len(alphabet)) - float(model[s[:-1], s[1:]].sum())
+    u, w = s[:-1], s[1:]
+    _, at, times = np.unique(u * N + w, return_inverse=True, return_counts=True)
+    before = np.bincount(u, minlength=N)[u]
+    chance = (np.maximum(pairs[u, w] - times[at], 0) + 8 * single[w]) / (np.maximum(firsts[u] - before, 0) + 8)
+    ratio = -(len(run) - 1) * math.log(len(alphabet)) - float(np.log(chance).sum())
     return max(0.0, ratio / math.log(10))
 
 
@@ -120,7 +126,7 @@ _SPAN = "struct<start:int,kind:int,end:int>"
 _FOUND = f"base array<{_SPAN}>, candidates array<struct<start:int,end:int,class:int,bin:int,fair:double>>"
 
 
-def _scan(model: np.ndarray, keep: list[str]):
+def _scan(model: tuple[np.ndarray, np.ndarray, np.ndarray], keep: list[str]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernels.chunks(batches, "text"):
             raw, at = kernels.utf8(batch.column("text"))
