@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import ctypes
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 
+T = TypeVar("T")
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -119,6 +121,18 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -
     give_back()
 
 
+_kept: dict[object, object] = {}
+
+
+def keep_one(key: object, make: Callable[[], T]) -> T:
+    """What a worker process keeps from task to task: one table of words at a time, whatever operators it has run."""
+    if key not in _kept:
+        _kept.clear()
+        give_back()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def give_back() -> None:
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":

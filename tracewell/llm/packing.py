@@ -59,7 +59,7 @@ def plan_group(sizes: np.ndarray, room: int, linear: float = 1.0, quadratic: flo
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: int = 1, group_tokens: int = 1 << 20, with_ids: bool = False, most_words: int = 600_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: int = 1, group_tokens: int = 1 << 20, with_ids: bool = False, most_words: int = 200_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if with_ids).
 
     docs needs doc_id and text; other columns, of any name, are ignored. Null or empty text is a document of the end

@@ -295,7 +295,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 1500, wanted: int = 48,
 
 
 class _Scorer:
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 150_000):
         self.model, self.most = model, most
         self.at: dict[bytes, int] = {}  # 0: reaches no landmark; -1: a single letter; else a row of vectors
         self.vectors = np.zeros((1, len(model.landmarks)), np.float32)
@@ -332,16 +332,10 @@ class _Scorer:
         return self.model.score(x)
 
 
-_kept: dict[str, _Scorer] = {}
-
-
 def _scorer(model: Model) -> _Scorer:
     """The scorer of this worker process, which later tasks with the same model use again."""
     key = repr((model.landmarks, model.weights.tobytes(), model.bias, model.slope, model.shift))
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = _Scorer(model)
-    return _kept[key]
+    return kernels.keep_one(key, lambda: _Scorer(model))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

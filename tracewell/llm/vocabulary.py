@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 
+from .kernels import keep_one
+
 #: Characters for which lower-casing and the pattern below do what the file's normaliser and pre-tokenizer do.
 _PLAIN = re.compile(r"[\x09-\x0d\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
@@ -27,7 +29,7 @@ def byte_letters() -> dict[int, str]:
 class Vocabulary:
     """words(text) and the mapping ids[word] -> little-endian 16-bit ids; kept words are bounded by `most`."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 200_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -92,14 +94,9 @@ class _Ids(dict):
         return found
 
 
-_open: dict[tuple[str, int], Vocabulary] = {}
-
-
-def opened(path: str, most: int = 600_000) -> Vocabulary:
+def opened(path: str, most: int = 200_000) -> Vocabulary:
     """The vocabulary of this worker process; kept across tasks."""
-    if (path, most) not in _open:
-        _open[path, most] = Vocabulary(path, most)
-    return _open[path, most]
+    return keep_one((path, most), lambda: Vocabulary(path, most))
 
 
 def default_path() -> str:
