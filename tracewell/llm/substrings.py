@@ -132,19 +132,21 @@ def removals(docs: DataFrame, width: int = 50) -> DataFrame:
     sketch = written(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_sketch(width), "doc_id long, n_words long, h1 long, h2 long, anchors array<long>"), "anchors")
     classes = sketch.where(F.col("n_words") >= width).groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     # rows that repeat an earlier document from end to end
-    several = classes.where("n > 1").select("h1", "h2", "rep")
+    several = written(classes.where("n > 1").select("h1", "h2", "rep"), "copied")
     copies = sketch.select("doc_id", "h1", "h2", "n_words").join(several, ["h1", "h2"]).where("doc_id > rep")
     whole = copies.select("doc_id", "h1", F.array(F.struct(F.lit(0).alias("first"), F.col("n_words").cast("int").alias("last"))).alias("removal"))
     # the anchors of one document of each class
     own = sketch.where(F.col("n_words") >= width).join(copies.select("doc_id", "h1"), ["doc_id", "h1"], "left_anti")
     spread = own.select("doc_id", "h1", F.explode("anchors").alias("anchor"))
     shared = spread.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    shared = written(shared, "shared-anchors")  # tables on both sides of a join let hot keys be split over tasks
     wanted = written(spread.join(shared, "anchor").groupBy("doc_id", "h1").agg(F.collect_set("anchor").alias("shared")), "shared")
     sieve = Sieve(wanted, "doc_id")
     rows = docs.select("doc_id", "text").where(sieve.passes("doc_id")).join(wanted, "doc_id")
     # a doc_id may come with several texts; the sketch's key tells them apart
     windows = written(rows.mapInArrow(_windows(width), "w1 long, w2 long, doc_id long, h1 long, place int"), "windows")
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
+    least = written(least, "repeated-windows")
     repeats = windows.join(least, ["w1", "w2"]).where("doc_id > lo").groupBy("doc_id", "h1").agg(F.sort_array(F.collect_set("place")).alias("places"))
     spans = F.aggregate(
         "places",
