@@ -11,12 +11,12 @@ from .common import written
 def _hung(links: DataFrame, to: str) -> DataFrame:
     """Hangs neighbours on the least of each vertex's neighbourhood. to: "larger" or "smaller" neighbours.
 
-    The minimum is aggregated before the shuffle and joined back, so that a vertex with a great many links is
+    The minimum is aggregated before the shuffle, written, and joined back, so that a vertex with a great many links is
     spread over tasks by the join's skew handling rather than gathered.
     """
     if to == "larger":
         links = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+    least = written(links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
     both = links.join(least, "u")
     if to == "larger":
         return both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -40,4 +40,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before, mark = mark, _mark(now)
         if mark == before:
             break
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+    named = now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")))
+    return written(named.distinct(), "components")

@@ -212,7 +212,8 @@ def _dealt(members: DataFrame, block: int) -> DataFrame:
     pair of blocks is a part of its own; within a part only rows of different sides are compared, except in a single
     block, where every row is its own side."""
     size = members.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    rows = members.join(size.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "key")
+    size = written(size.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "open-buckets")
+    rows = members.join(size, "key")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("part", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
@@ -234,7 +235,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, block: i
     classes = written(whole.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min_by("sign", "doc_id").alias("sign")), "classes")
     keys = bands(classes)
     buckets = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = written(keys.join(buckets.select("key", "leader"), "key"), "members")
+    buckets = written(buckets.select("key", "leader"), "buckets")  # tables on both sides let hot keys be split over tasks
+    members = written(keys.join(buckets, "key"), "members")
 
     signs = classes.select("id", "sign")
     pairs = members.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
@@ -246,7 +248,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, block: i
     links = written(both.mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
     first = components(links)
 
-    named = members.select("key", "id").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    named = written(members.select("key", "id").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")), "named")
     open_rows = _dealt(named, block).join(signs, "id").repartition("key", "part").sortWithinPartitions("key", "part", "side")
     left = written(open_rows.select("key", "part", "side", "id", "comp", "sign").mapInArrow(_open_members, "key long, id long, comp long").distinct(), "open")
     more = _dealt(left, block).join(signs, "id").join(sets_of(docs, left.select("id").distinct(), width), "id")
