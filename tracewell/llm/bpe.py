@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels, vocabulary
-from .common import documents, salted_number
+from .common import documents, salted_number, short_batches
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _ROW = "block binary, bucket int, body binary"
@@ -79,7 +79,7 @@ def _blocks(tokenizer: str, buckets: int, text_bytes: int, want: str):
             number, held, seen = {}, 0, hashlib.blake2b(digest_size=16)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int32(), pa.binary()))], ["block", "bucket", "body"]) if rows else None
 
-        for batch in kernels.chunks(batches, "text"):
+        for batch in kernels.chunks(batches, "text", table=True):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 text = text or ""
                 raw = text.encode("utf-8", "surrogatepass")
@@ -104,6 +104,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, text_bytes: int = 48 << 20, b
     ids each keep a row. A text of any length stays in one block. docs is read twice and must give the same rows in
     the same order within a partition both times (a scan does; write a shuffled table first), else the job fails.
     """
+    short_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
     buckets = buckets or max(8, salted_number(docs.sparkSession))
 

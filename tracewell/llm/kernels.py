@@ -114,9 +114,12 @@ def window_owner(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]
     return np.arange(counts.sum()) - skip[text] + first[:-1][text], text
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20, table: bool = False) -> Iterator[pa.RecordBatch]:
     """Cuts batches by bytes of text, so that what a kernel holds doesn't grow with rows a batch; one text stays whole.
-    After the last one it gives freed memory back, as the worker process lives on."""
+    After the last one it gives freed memory back, as the worker process lives on. table: the caller uses keep_one;
+    for any other, what an earlier operator has kept goes."""
+    if not table:
+        _kept.clear()
     yield from _cut(batches, text, limit)
     give_back()
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels, vocabulary
-from .common import Sieve, documents
+from .common import Sieve, documents, short_batches
 
 PIECES, CELLS, SLICE = 1 << 16, 1 << 20, 1 << 14
 END, SHARE = PIECES - 1, 0.7
@@ -36,7 +36,7 @@ def cells(before: np.ndarray, after: np.ndarray) -> np.ndarray:
 def _token_batches(tokenizer: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(batch, ids with an end mark before, between and after texts, number of ids of each text)."""
     words = vocabulary.opened(tokenizer)
-    for batch in kernels.chunks(batches, "text"):
+    for batch in kernels.chunks(batches, "text", table=True):
         own = [words.encode(t) for t in batch.column("text").to_pylist()]
         mark = np.array([END], np.uint16)
         yield batch, np.concatenate([mark] + [x for ids in own for x in (ids, mark)]).astype(np.int64), np.fromiter(map(len, own), np.int64, len(own))
@@ -90,6 +90,7 @@ def score(docs: DataFrame, target: DataFrame, background: DataFrame, tokenizer:
     Repeated rows score alike and count each. An empty target or background is a uniform model.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     (t1, t2), (b1, b2) = counts(target, tokenizer), counts(background, tokenizer)
     size = vocabulary.Vocabulary(tokenizer).tokenizer.get_vocab_size() + 1
     scale = float(t1.sum() / b1.sum()) if t1.sum() and b1.sum() else 1.0

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import documents
+from .common import documents, short_batches
 
 SIDE, UNIT, FPS, SLAB = 24, 576, 25, 2048
 
@@ -374,6 +374,7 @@ def store(docs: DataFrame, with_media: bool = False) -> DataFrame:
                 names.append("media")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
+    short_batches(docs.sparkSession)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return docs.select("doc_id", "text").mapInArrow(stored, schema + (", media binary" if with_media else ""))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import Sieve, documents, written
+from .common import Sieve, documents, short_batches, written
 from .components import components
 
 BANDS, ROWS = 40, 4
@@ -229,6 +229,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, block: i
     document with several texts: whatever links with one of them is in its component. docs is read several times.
     An empty table gives an empty result. Texts of any length are compared whole.
     """
+    short_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     rows = written(features(docs, width), "shingles")
     whole = rows.where("doc_id is not null and n_shingles > 0")

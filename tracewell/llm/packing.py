@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from . import kernels, vocabulary
-from .common import documents
+from .common import documents, short_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -66,6 +66,7 @@ def pack(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: int = 1, gro
     id alone. Repeated rows are separate documents; a null doc_id stays null. A text of any length is cut at need.
     An empty table gives an empty result. Sequence ids are unique over the table: input partition and number within.
     """
+    short_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +92,7 @@ def pack(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: int = 1, gro
             doc_of.clear()
             return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out.values()], list(out))
 
-        for batch in kernels.chunks(batches, "text"):
+        for batch in kernels.chunks(batches, "text", table=True):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids_of.append(np.append(words.encode(text), np.uint16(end_id)))
                 doc_of.append(doc)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import documents, written
+from .common import documents, short_batches, written
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -196,6 +196,7 @@ def scan(docs: DataFrame, keep: list[str], rate: float = 0.01, fair: float = 0.0
     corpus statistics. rate: share of random spans that may be ordinary text; fair: the battery's level.
     An empty table gives an empty result. A text of any length is scanned whole.
     """
+    short_batches(docs.sparkSession)
     model = text_model(pair_counts(docs))
     columns = [f"`{k}` {dict(docs.dtypes)[k]}" for k in keep]
     cols = list(dict.fromkeys([*keep, "text"]))

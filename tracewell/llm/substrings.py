@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import Sieve, documents, written
+from .common import Sieve, documents, short_batches, written
 
 
 def anchors(word: np.ndarray, width: int) -> np.ndarray:
@@ -168,6 +168,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], names: list[str], width: in
     nothing. A null doc_id takes no part and loses nothing. Rows that repeat a doc_id don't count as smaller than each
     other. An empty table gives an empty result; a text of any length is hashed whole.
     """
+    short_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
     cols = list(dict.fromkeys([*keep, "doc_id", "text"]))
     gone = removals(docs, width)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import documents
+from .common import documents, short_batches
 
 DECAY, ORDER, FAINT, PER, START = 0.5, 3, 0.45, 30, "^"
 
@@ -259,6 +259,7 @@ def _words(text: str | None) -> Counter[str]:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 1500, wanted: int = 48, others: int = 2) -> Model:
     """Without texts of both classes the model gives every text the same score: the share of toxic ones (or 0)."""
+    short_batches(docs.sparkSession)
     rows = labelled(docs, labels, most).collect()
     y = np.array([r[0] == 1 for r in rows], bool)
     if not y.any() or y.all():
@@ -343,13 +344,14 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     docs needs text. Null and empty texts have the score of a text without any insult. Repeated rows score alike.
     """
+    short_batches(docs.sparkSession)
     columns = [c for c in docs.columns if c not in ("score", "predicted")]
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", score double, predicted int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(model)
-        for batch in kernels.chunks(batches, "text"):
+        for batch in kernels.chunks(batches, "text", table=True):
             got = scorer.scores(batch.column("text").to_pylist())
             arrays = [*batch.columns, pa.array(got, pa.float64()), pa.array((got >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(arrays, [*columns, "score", "predicted"])
