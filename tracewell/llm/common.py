@@ -52,12 +52,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Removes the files of a table made by written(), once nothing needs it."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
-        _remove(df.sparkSession, path)
-
-
 def salted_number(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
