@@ -76,13 +76,6 @@ def occurrences(text: Column, literal: str) -> Column:
     return found["out"]
 
 
-def byte_counts(data: Column) -> Column:
-    """Array of 256 counts, summed over the bytes as two hex digits each."""
-    digits = F.hex(data)
-    values = F.transform(F.sequence(F.lit(0), F.octet_length(data) - 1), lambda i: F.conv(F.substr(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
-    return values
-
-
 def fingerprint(relative: Column, needle: Column, line: Column) -> Column:
     """v1/<path>/<needle>/<first 8 bytes of the line's SHA-256 in hex>; line is binary."""
     return F.concat_ws("/", F.lit("v1"), relative, needle, F.left(F.sha2(line, 256), F.lit(16)))

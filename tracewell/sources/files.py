@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -105,9 +104,7 @@ def window_hits(windows: DataFrame, needles: list[str], start_offset: int = 0) -
     return with_block(rows.where("offset + match_length > base"), start_offset)
 
 
-def parse_exit(hits: int, fail_on_hit: bool, covered: bool) -> int:
+def exit_code(hits: int, fail_on_hit: bool, covered: bool) -> int:
     """0 fine, 1 nothing was covered, 3 hits with fail_on_hit."""
     return 1 if not covered else 3 if fail_on_hit and hits else 0
 
-
-SEGMENT = re.compile(r"\.[0-9]{3,}$")
