@@ -109,9 +109,15 @@ def quoted(text: str) -> str:
     return "(" + " || ".join([*parts, f"'{run}'"]) + ")"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals rows out where a table has fewer splits than there are cores; a large table stays as it is read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, target, data): data is binary."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     plant = F.element_at(F.array(*map(F.lit, PLANTS)), (F.col("doc_id") % len(PLANTS) + 1).cast("int"))
     dots = F.repeat(F.lit("."), (F.col("doc_id") % 4096).cast("int"))
     body = F.concat(F.coalesce("text", F.lit("")), dots, plant)
