@@ -142,6 +142,17 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a worker process gives its freed memory back, and keeps no table of an earlier operator."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _kept.clear()
+        yield from run(batches)
+        give_back()
+
+    return own
+
+
 def _cut(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = batch.column(text)

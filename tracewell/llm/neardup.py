@@ -86,7 +86,7 @@ def bands(classes: DataFrame) -> DataFrame:
                 ids = np.repeat(batch.column("id").to_numpy(), BANDS)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "id"])
 
-    return classes.select("id", "sign").mapInArrow(run, "key long, id long")
+    return classes.select("id", "sign").mapInArrow(kernels.released(run), "key long, id long")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -242,19 +242,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, block: i
     signs = classes.select("id", "sign")
     pairs = members.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     pairs = pairs.join(signs.select(F.col("id").alias("a"), F.col("sign").alias("sa")), "a").join(signs.select(F.col("id").alias("b"), F.col("sign").alias("sb")), "b")
-    pairs = written(pairs.mapInArrow(_alike, "a long, b long"), "alike")
+    pairs = written(pairs.mapInArrow(kernels.released(_alike), "a long, b long"), "alike")
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
     sets = sets_of(docs, ids, width)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
-    links = written(both.mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
+    links = written(both.mapInArrow(kernels.released(_confirm(percent)), "a long, b long"), "confirmed")
     first = components(links)
 
     named = written(members.select("key", "id").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")), "named")
     open_rows = _dealt(named, block).join(signs, "id").repartition("key", "part").sortWithinPartitions("key", "part", "side")
-    left = written(open_rows.select("key", "part", "side", "id", "comp", "sign").mapInArrow(_open_members, "key long, id long, comp long").distinct(), "open")
+    left = written(open_rows.select("key", "part", "side", "id", "comp", "sign").mapInArrow(kernels.released(_open_members), "key long, id long, comp long").distinct(), "open")
     more = _dealt(left, block).join(signs, "id").join(sets_of(docs, left.select("id").distinct(), width), "id")
     more = more.repartition("key", "part").sortWithinPartitions("key", "part", "side")
-    found = written(more.select("key", "part", "side", "id", "comp", "sign", "shingles").mapInArrow(_new_links(percent), "a long, b long"), "found")
+    found = written(more.select("key", "part", "side", "id", "comp", "sign", "shingles").mapInArrow(kernels.released(_new_links(percent)), "a long, b long"), "found")
     last = components(links.unionAll(found)) if not found.isEmpty() else first
 
     own = rows.select("doc_id", "n_shingles", "h1", "h2")
