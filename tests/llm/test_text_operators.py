@@ -182,6 +182,24 @@ def test_scores_equal_brute_force(spark, docs, odd, library):
     assert lmscore.score(docs([]), docs([]), docs([]), PATH).count() == 0
 
 
+def test_scores_keep_pairs_of_one_cell_apart(spark, docs, library):
+    one = [(w, i[0]) for w, i in ((w, library.encode(w, add_special_tokens=False).ids) for w in (x.removesuffix("</w>") for x in library.get_vocab()) if w.isascii() and w.isalpha() and w.islower()) if len(i) == 1][:1500]
+    ids = np.array([i for _, i in one])
+    cell = lmscore.cells(np.repeat(ids, len(ids)), np.tile(ids, len(ids)))
+    order = np.argsort(cell, kind="stable")
+    same = next((a, b) for a, b in zip(order, order[1:]) if cell[a] == cell[b] and len({*divmod(a, len(ids)), *divmod(b, len(ids))}) == 4)
+    (a, b), (c, d) = ([one[x][0] for x in divmod(p, len(ids))] for p in same)
+    texts = [f"{a} {b}", c, d, f"{c} {d}"]
+    all_docs = docs(texts)
+    got = {r.doc_id: r for r in lmscore.score(all_docs, docs(texts[:3]), docs(texts), PATH).collect()}
+    size = library.get_vocab_size() + 1
+    # in the target c is always last, d always first and in no pair with c: 7 pieces, 3 of them end marks
+    start, pair, end = 0.7 / 3 + 0.3 * 2 / (7 + size), 0.3 * 2 / (7 + size), 0.7 + 0.3 * 4 / (7 + size)
+    assert got[3].target_loss == pytest.approx(-np.log([start, pair, end]).mean(), abs=1e-6)
+    again = {r.doc_id: r for r in lmscore.score(all_docs, docs(texts[:3]), all_docs, PATH).collect()}
+    assert again == got
+
+
 def test_words_of_a_batch():
     import pyarrow as pa
 

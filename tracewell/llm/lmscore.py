@@ -1,13 +1,14 @@
 """LM scoring by cross-entropy difference.
 
 Two bigram models, of a target corpus and of the background corpus, share one vocabulary: the pieces of a published
-tokenizer and an end mark. Both have the same form, ``0.7 * pair share + 0.3 * smoothed piece share``, with pair counts
-in a hashed table of fixed size that both use alike, and the background's counts are scaled to the target's total, so
-that smoothing weighs the same. A document's score is the mean over its tokens of the target loss less the background
-loss: the lower, the more it is like the target.
-
-All documents are counted. A task adds up its own tables and sends each slice once, compressed; slices are summed by
-slice. The summed tables have a fixed size (8 MB a model), whatever the corpus; they are what is broadcast.
+tokenizer and an end mark. Both have the same form, ``0.7 * pair share + 0.3 * smoothed piece share``, with exact counts
+of pairs, and the background's counts are scaled to the target's total, so that smoothing weighs the same. A document's
+score is the mean over its tokens of the target loss less the background loss: the lower, the more it is like the target.
+
+All documents are counted. Texts are encoded in blocks of about a million tokens; a block sends each of its distinct
+pairs once with its count. The summed counts are a written table that grows with the corpus; the blocks' distinct pairs
+meet it in a join and return to their block, whose kept ids then take their losses. Only piece counts, of which there
+are as many as the vocabulary has pieces, are broadcast.
 """
 
 from __future__ import annotations
@@ -15,71 +16,95 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels, vocabulary
-from .common import Sieve, documents, short_batches
+from .common import Sieve, documents, short_batches, written
 
-PIECES, CELLS, SLICE = 1 << 16, 1 << 20, 1 << 14
+PIECES, CELLS, BLOCK = 1 << 16, 1 << 20, 1 << 20
 END, SHARE = PIECES - 1, 0.7
 
 
 def cells(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """A hash of pairs, for small tables of brute force; the operator itself never merges pairs."""
     pair = (before.astype(np.uint64) << np.uint64(16)) | after.astype(np.uint64)
     return (kernels.mix(pair) >> np.uint64(44)).astype(np.int64)
 
 
-def _token_batches(tokenizer: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(batch, ids with an end mark before, between and after texts, number of ids of each text)."""
-    words = vocabulary.opened(tokenizer)
-    for batch in kernels.chunks(batches, "text", table=True):
-        own = [words.encode(t) for t in batch.column("text").to_pylist()]
-        mark = np.array([END], np.uint16)
-        yield batch, np.concatenate([mark] + [x for ids in own for x in (ids, mark)]).astype(np.int64), np.fromiter(map(len, own), np.int64, len(own))
-
-
-def counts(docs: DataFrame, tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
-    """(piece counts, pair counts by cell) of all texts of docs."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(PIECES + CELLS, np.int64)
-        for _, ids, _ in _token_batches(tokenizer, batches):
-            total[:PIECES] += np.bincount(ids[1:], minlength=PIECES)
-            total[PIECES:] += np.bincount(cells(ids[:-1], ids[1:]), minlength=CELLS)
-        press = zstandard.ZstdCompressor(level=3)
-        rows = [(k, press.compress(total[k * SLICE : (k + 1) * SLICE].tobytes())) for k in range(len(total) // SLICE) if total[k * SLICE : (k + 1) * SLICE].any()]
-        at, body = zip(*rows) if rows else ([], [])
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(body, pa.binary())], ["slice", "body"])
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total, open_ = np.zeros(SLICE, np.int64), zstandard.ZstdDecompressor()
-        for body in frame["body"]:
-            total += np.frombuffer(open_.decompress(body), np.int64)
-        return pd.DataFrame({"slice": frame["slice"].iloc[:1], "body": [total.tobytes()]})
-
-    shape = "slice int, body binary"
-    out = np.zeros(PIECES + CELLS, np.int64)
-    for k, body in docs.select("text").mapInArrow(count, shape).groupBy("slice").applyInPandas(add, shape).collect():
-        out[k * SLICE : (k + 1) * SLICE] = np.frombuffer(body, np.int64)
-    return out[:PIECES], out[PIECES:]
-
-
-def model(pieces: np.ndarray, pairs: np.ndarray, scale: float, vocabulary_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(0.3 * piece shares, 0.7 / piece counts, pair counts): the tables from which a probability is read."""
-    one, two = pieces * scale, pairs * scale
+def codes(ids: np.ndarray) -> np.ndarray:
+    """Each pair of neighbours as one number: the former piece above the latter."""
+    return (ids[:-1].astype(np.uint32) << np.uint32(16)) | ids[1:]
+
+
+_BLOCK = "block long, doc_ids array<long>, n_tokens array<long>, ids binary, pairs binary, times binary"
+
+
+def blocks(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Encoded texts of docs (doc_id, text), a row a block: doc_ids and n_tokens of its texts, ids (16 bits each, with an
+    end mark before, between and after texts; compressed), and the distinct pairs (32 bits) with their counts (64 bits)."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, task, number = vocabulary.opened(tokenizer), TaskContext.get().partitionId(), 0
+        mark, press = np.array([END], np.uint16), zstandard.ZstdCompressor(level=3)
+
+        def block(doc_ids: list, parts: list[np.ndarray]) -> pa.RecordBatch:
+            ids = np.concatenate([mark] + [x for own in parts for x in (own, mark)])
+            pairs, times = np.unique(codes(ids), return_counts=True)
+            n = pa.array([[len(own) for own in parts]], pa.list_(pa.int64()))
+            bodies = [pa.array([x], pa.binary()) for x in (press.compress(ids.tobytes()), pairs.tobytes(), times.astype(np.int64).tobytes())]
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | number]), pa.array([doc_ids], pa.list_(pa.int64())), n, *bodies], ["block", "doc_ids", "n_tokens", "ids", "pairs", "times"])
+
+        doc_ids, parts, size = [], [], 0
+        for batch in kernels.chunks(batches, "text", table=True):
+            doc_ids += batch.column("doc_id").to_pylist()
+            own = [words.encode(t) for t in batch.column("text").to_pylist()]
+            parts += own
+            size += sum(map(len, own)) + len(own)
+            if size >= BLOCK:
+                yield block(doc_ids, parts)
+                doc_ids, parts, size, number = [], [], 0, number + 1
+        if parts:
+            yield block(doc_ids, parts)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, _BLOCK)
+
+
+def pairs(made: DataFrame) -> DataFrame:
+    """(block, pair, n): the distinct pairs of each block."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, pair, times in zip(*(batch.column(k) for k in ("block", "pairs", "times"))):
+                pair, n = np.frombuffer(pair.as_py(), np.uint32).astype(np.int64), np.frombuffer(times.as_py(), np.int64)
+                for k in range(0, len(pair), 1 << 16):
+                    part = pair[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block.as_py())), pa.array(part), pa.array(n[k : k + (1 << 16)])], ["block", "pair", "n"])
+
+    return made.select("block", "pairs", "times").mapInArrow(kernels.released(rows), "block long, pair long, n long")
+
+
+def counts(target: DataFrame, background: DataFrame) -> DataFrame:
+    """(pair, target, background): how often each pair stands in the blocks of the two, as a written table."""
+    zero = F.lit(0).cast("long")
+    both = pairs(target).select("pair", F.col("n").alias("target"), zero.alias("background"))
+    both = both.unionAll(pairs(background).select("pair", zero.alias("target"), F.col("n").alias("background")))
+    return written(both.groupBy("pair").agg(F.sum("target").alias("target"), F.sum("background").alias("background")), "pair-counts")
+
+
+def model(pieces: np.ndarray, scale: float, vocabulary_size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(0.3 * smoothed piece shares, 0.7 / piece counts): with pair counts, a probability is read from them."""
+    one = pieces * scale
     share = (one + 1) / (one.sum() + vocabulary_size)
-    with np.errstate(divide="ignore"):
-        per = np.where(one > 0, SHARE / one, 0)
-    return ((1 - SHARE) * share).astype(np.float32), per.astype(np.float32), two.astype(np.float32)
+    return (1 - SHARE) * share, np.divide(SHARE, pieces, out=np.zeros(PIECES), where=pieces > 0)
 
 
-def losses(tables: tuple[np.ndarray, ...], before: np.ndarray, after: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    piece, per, pairs = tables
-    return -np.log(np.minimum(pairs[cell] * per[before], SHARE).astype(float) + piece[after])
+def losses(tables: tuple[np.ndarray, ...], pair: np.ndarray, n: np.ndarray) -> np.ndarray:
+    piece, per = tables
+    return -np.log(n * per[pair >> 16] + piece[pair & 0xFFFF])
 
 
 def score(docs: DataFrame, target: DataFrame, background: DataFrame, tokenizer: str) -> DataFrame:
@@ -87,26 +112,42 @@ def score(docs: DataFrame, target: DataFrame, background: DataFrame, tokenizer:
     mark counted as one.
 
     docs needs doc_id and text; target and background need text. Null and empty texts score their end mark alone.
-    Repeated rows score alike and count each. An empty target or background is a uniform model.
+    Repeated rows score alike and count each. An empty target or background is a uniform model. A background that is
+    docs itself isn't encoded again.
     """
     spark = docs.sparkSession
     short_batches(spark)
-    (t1, t2), (b1, b2) = counts(target, tokenizer), counts(background, tokenizer)
+    own = written(blocks(docs, tokenizer), "token-blocks")
+    unnamed = lambda df: written(blocks(df.select(F.lit(None).alias("doc_id"), "text"), tokenizer).select("block", "pairs", "times"), "pair-blocks")
+    table = counts(unnamed(target), own if background is docs else unnamed(background))
+    pieces = np.zeros((2, PIECES))
+    for piece, t, b in table.groupBy(F.col("pair").bitwiseAND(F.lit(0xFFFF)).alias("piece")).agg(F.sum("target"), F.sum("background")).collect():
+        pieces[:, piece] = t, b
     size = vocabulary.Vocabulary(tokenizer).tokenizer.get_vocab_size() + 1
+    t1, b1 = pieces
     scale = float(t1.sum() / b1.sum()) if t1.sum() and b1.sum() else 1.0
-    tables = spark.sparkContext.broadcast((model(t1, t2, 1.0, size), model(b1, b2, scale, size)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, ids, n in _token_batches(tokenizer, batches):
-            before, after = ids[:-1], ids[1:]
-            cell = cells(before, after)
-            cut = np.cumsum(n + 1) - n - 1
-            sums = [np.add.reduceat(losses(t, before, after, cell), cut) if len(n) else np.zeros(0) for t in tables.value]
-            target_loss, background_loss = (s / (n + 1) for s in sums)
-            arrays = [batch.column("doc_id"), pa.array(n), pa.array(target_loss), pa.array(background_loss), pa.array(target_loss - background_loss)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    tables = spark.sparkContext.broadcast((model(t1, 1.0, size), model(b1, scale, size)))
+
+    def run(block: pa.Table, known: pa.Table) -> pa.Table:
+        pair = known.column("pair").to_numpy()
+        order = np.argsort(pair)
+        pair = pair[order]
+        ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(block.column("ids")[0].as_py()), np.uint16)
+        at = np.searchsorted(pair.astype(np.uint32), codes(ids))
+        n = block.column("n_tokens").combine_chunks().flatten().to_numpy()
+        cut = np.cumsum(n + 1) - n - 1
+        own = zip(tables.value, ("target", "background"))
+        target_loss, background_loss = (np.add.reduceat(losses(t, pair, known.column(k).to_numpy()[order])[at], cut) / (n + 1) for t, k in own)
+        kernels.give_back()
+        doc_ids = block.column("doc_ids").combine_chunks().flatten()
+        return pa.table([doc_ids, pa.array(n), pa.array(target_loss), pa.array(background_loss), pa.array(target_loss - background_loss)], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    zero = F.lit(0).cast("long")
+    known = pairs(own).select("block", "pair").join(table.hint("merge"), "pair", "left").select(
+        "block", "pair", F.coalesce("target", zero).alias("target"), F.coalesce("background", zero).alias("background")
+    )
+    bodies = own.select("block", "doc_ids", "n_tokens", "ids")
+    return bodies.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
