@@ -103,6 +103,15 @@ def test_secrets_keep_base_spans_and_add_random_ones(spark, docs, odd):
     assert secrets.scan(docs([]), ["doc_id"]).count() == 0
 
 
+def test_copies_of_a_secret_do_not_make_it_ordinary(spark, docs):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(300)]
+    keys = ["".join(rng.choices(alphabet, k=40)) for alphabet in (secrets.ENCODINGS["base62"], secrets.ENCODINGS["HEX"], secrets.ENCODINGS["base36"])]
+    texts = [" ".join([*rng.choices(words, k=40), *(keys if i % 3 == 0 else [])]) for i in range(300)]
+    rows = secrets.scan(docs(texts), ["doc_id", "text"]).collect()
+    assert all([r.text[s.start : s.end] for s in r.spans] == (keys if r.doc_id % 3 == 0 else []) for r in rows) and len(rows) == 300
+
+
 def test_battery_levels():
     rng = random.Random(3)
     alphabet = secrets.ENCODINGS["base62"]

@@ -8,6 +8,7 @@ that ordinary text looks so random (Markov's inequality makes ``1 / ratio`` a va
 
 The false-discovery rate of that second p-value is controlled over the whole corpus by Benjamini-Hochberg, in classes
 of length, as long runs are tested with more power than short ones; the battery's level is shared out in the same way.
+The pair model counts each distinct long run once and leaves out the candidate's own: copies of a secret teach it nothing.
 """
 
 from __future__ import annotations
@@ -45,18 +46,44 @@ N = len(CODES) + 1
 
 
 def pair_counts(docs: DataFrame) -> np.ndarray:
-    """How often each pair of code characters (all other characters are one) stands side by side in all documents."""
+    """How often each pair of code characters (all other characters are one) stands side by side in all documents, where
+    each distinct run of LEAST and more code characters counts once, so that a repeated secret doesn't become ordinary."""
+
+    def sums(total: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64()), pa.nulls(len(at), pa.string())], ["pair", "n", "run"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(N * N, np.int64)
         for batch in kernels.chunks(batches, "text"):
-            raw, _ = kernels.utf8(batch.column("text"))
+            raw, at = kernels.utf8(batch.column("text"))
             s = _symbol[raw]
-            total += np.bincount(s[:-1] * N + s[1:], minlength=N * N)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["pair", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+            start, end, _ = kernels.words(raw, at, _outside_code)
+            long = end - start >= LEAST
+            start, end = start[long], end[long]
+            edge = np.zeros(len(raw) + 1, np.int64)
+            np.add.at(edge, start, 1)
+            np.add.at(edge, end - 1, -1)
+            own = np.cumsum(edge)[: max(len(raw) - 1, 0)] > 0
+            total += np.bincount((s[:-1] * N + s[1:])[~own], minlength=N * N)
+            runs = sorted({raw[a:b].tobytes().decode() for a, b in zip(start.tolist(), end.tolist())})
+            if runs:
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(runs), pa.int32()), pa.nulls(len(runs), pa.int64()), pa.array(runs)], ["pair", "n", "run"])
+        yield sums(total)
+
+    def count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(N * N, np.int64)
+        for batch in kernels.chunks(batches, "run"):
+            raw, at = kernels.utf8(batch.column("run"))
+            s = _symbol[raw]
+            inner = np.ones(max(len(raw) - 1, 0), bool)
+            inner[at[1:-1] - 1] = False
+            total += np.bincount((s[:-1] * N + s[1:])[inner], minlength=N * N)
+        yield sums(total).select(["pair", "n"])
+
+    found = written(docs.select("text").mapInArrow(count, "pair int, n long, run string"), "secret-pairs")
+    once = found.where("run is not null").select("run").distinct().mapInArrow(count_runs, "pair int, n long")
+    rows = found.where("run is null").select("pair", "n").unionAll(once).groupBy("pair").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(N * N)
     for pair, n in rows:
         out[pair] = n
