@@ -1,6 +1,6 @@
 """Secret scans: patterns of known shape, and a battery of randomness tests for the rest.
 
-Every run of encoded-looking characters is a candidate. Its encoding is inferred from the characters it uses, and three
+Every run of encoded-looking characters is a candidate, or what a pattern of known shape leaves of it. Its encoding is inferred from the characters it uses, and three
 tests ask whether it could be uniform random text of that encoding: chi-squared uniformity of the alphabet, the number
 of runs about the middle code, and serial correlation; Fisher's method combines them. A candidate must also be unlike
 ordinary text: the likelihood ratio of uniform text against a character-pair model of all documents bounds the chance
@@ -30,7 +30,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 KINDS = ["assign", "access", "hex", "random"]
 CODES = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
 ENCODINGS = {  # from the smallest alphabet up; the first that covers a run is its encoding
-    "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "decimal": "0123456789", "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "lower": CODES[26:52], "UPPER": CODES[:26], "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base62": CODES[:62], "base64": CODES[:64], "base64url": CODES[:62] + "-_", "any": CODES,
 }
@@ -149,6 +149,20 @@ def base_spans(text: str, hexes: list[tuple[int, int]]) -> list[tuple[str, int,
     return out + [("hex", a, b) for a, b in hexes]
 
 
+def rest(runs: list[tuple[int, int]], base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """What base spans leave of the runs, in parts of LEAST and more characters. Both are taken in order of start."""
+    taken, out, k = sorted((a, b) for _, a, b in base), [], 0
+    reach = 0
+    for a, b in runs:
+        a = max(a, reach)
+        while k < len(taken) and taken[k][0] < b:
+            out.append((a, min(b, taken[k][0])))
+            reach = max(reach, taken[k][1])
+            a, k = max(a, reach), k + 1
+        out.append((a, b))
+    return [(a, b) for a, b in out if b - a >= LEAST]
+
+
 _SPAN = "struct<start:int,kind:int,end:int>"
 _FOUND = f"base array<{_SPAN}>, candidates array<struct<start:int,end:int,class:int,bin:int,fair:double>>"
 
@@ -162,11 +176,7 @@ def _scan(model: tuple[np.ndarray, np.ndarray, np.ndarray], keep: list[str]):
             hexes = np.stack([start[long], end[long]], 1)
             start, end, _ = kernels.words(raw, at, _outside_code)
             long = end - start >= LEAST
-            start, end = start[long], end[long]
-            digits, upper, lower = (np.concatenate([[0], np.cumsum((raw >= a) & (raw <= b))]) for a, b in ((48, 57), (65, 90), (97, 122)))
-            digits, upper, lower = (x[end] - x[start] for x in (digits, upper, lower))
-            mixed = (digits >= 2) & (digits < end - start) | (upper >= 3) & (lower >= 3)
-            runs = np.stack([start[mixed], end[mixed]], 1)
+            runs = np.stack([start[long], end[long]], 1)
             hex_at, run_at = np.searchsorted(hexes[:, 0], at), np.searchsorted(runs[:, 0], at)
             base_all, cand_all = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
@@ -185,9 +195,7 @@ def _scan(model: tuple[np.ndarray, np.ndarray, np.ndarray], keep: list[str]):
                 base = base_spans(text, points(hexes[hex_at[i] : hex_at[i + 1]]))
                 base_all.append([{"start": a, "kind": KINDS.index(k), "end": b} for k, a, b in base])
                 cands = []
-                for a, b in points(runs[run_at[i] : run_at[i + 1]]):
-                    if any(a < y and x < b for _, x, y in base):
-                        continue
+                for a, b in rest(points(runs[run_at[i] : run_at[i + 1]]), base):
                     run = text[a:b]
                     alphabet = encoding(run)[1]
                     level = sum(b - a >= n for n in LENGTHS) - 1
