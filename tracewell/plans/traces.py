@@ -77,6 +77,11 @@ def typo_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.typos(_tokens(spark, sf_dir).where("length(word) = 4"), word_list(spark))
 
 
+def typo_distance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As typo_distance, for tokens of every length that the operator takes; that one keeps to its SQL twin's four letters."""
+    return words.typos(_tokens(spark, sf_dir), word_list(spark))
+
+
 def _public(rows: DataFrame) -> DataFrame:
     return rows.select("target", "needle", "offset", "match_length")
 
@@ -208,7 +213,7 @@ from found where contains(text, needle)""".format(count=len(_PATCH), lines=", ".
 QUERIES = {
     f.__name__: f
     for f in (
-        word_tokens, word_runs, seed_exact_12, seed_exact_all, unordered_runs, suppress_contained, slip39_shares, electrum_seeds, near_misses, typo_distance, electrum_files,
+        word_tokens, word_runs, seed_exact_12, seed_exact_all, unordered_runs, suppress_contained, slip39_shares, electrum_seeds, near_misses, typo_distance, typo_distance_all, electrum_files,
         vault_shapes, secret_shapes, mkey_records, keystore_params, descriptors, union_detectors, token_words, token_variants, interval_merge, free_runs, page_dedupe,
         plurality_vote, topk_candidates, split_segments, patch_attribution,
     )
