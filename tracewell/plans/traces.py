@@ -23,6 +23,20 @@ def _listed(spark: SparkSession, sf_dir: str, n: int = 2048) -> DataFrame:
     return words.listed(_tokens(spark, sf_dir), word_list(spark, n))
 
 
+def _seeds(own: DataFrame, lengths: tuple[int, ...] = words.SEED_LENGTHS) -> DataFrame:
+    out = words.seeds(own, lengths[0])
+    for n in lengths[1:]:
+        out = out.unionAll(words.seeds(own, n))
+    return out
+
+
+def _shares(own: DataFrame) -> DataFrame:
+    out = words.shares(own, words.SHARE_LENGTHS[0])
+    for n in words.SHARE_LENGTHS[1:]:
+        out = out.unionAll(words.shares(own, n))
+    return out
+
+
 def _hit(rows: DataFrame) -> DataFrame:
     """The public columns of word evidence: no words without reveal."""
     return rows.select("target", "needle", "start", "end")
@@ -42,10 +56,7 @@ def seed_exact_12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def seed_exact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _listed(spark, sf_dir)
-    out = words.seeds(own, 12)
-    for n in words.SEED_LENGTHS[1:]:
-        out = out.unionAll(words.seeds(own, n))
-    return _hit(out)
+    return _hit(_seeds(own))
 
 
 def unordered_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +64,12 @@ def unordered_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hit(words.unordered_runs(own, words.seeds(own, 12)))
 
 
+def unordered_runs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that hold no seed or share of any kind and length; unordered_runs keeps to its SQL twin's seeds of 12 words."""
+    own = _listed(spark, sf_dir)
+    return _hit(words.unordered_runs(own, _seeds(own).unionAll(words.versioned_seeds(own)).unionAll(_shares(_listed(spark, sf_dir, 1024)))))
+
+
 def suppress_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """12-word windows of listed words that lie outside every exact seed."""
     own = _listed(spark, sf_dir)
@@ -60,17 +77,23 @@ def suppress_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slip39_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hit(words.shares(_listed(spark, sf_dir, 1024), 20))
+    return _hit(_shares(_listed(spark, sf_dir, 1024)))
 
 
 def electrum_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _listed(spark, sf_dir)
-    return _hit(words.without_contained(words.versioned_seeds(own), words.seeds(own, 15), strictly=True))
+    return _hit(words.without_contained(words.versioned_seeds(own), _seeds(own, words.SEED_LENGTHS[1:]), strictly=True))
 
 
 def near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _tokens(spark, sf_dir)
-    return words.near_misses(own, word_list(spark), 12, words.seeds(_listed(spark, sf_dir), 12)).select("target", "needle", "start", "end", "gaps")
+    """Windows of all seed lengths, away from exact seeds and from runs that hold none."""
+    toks, own = _tokens(spark, sf_dir), _listed(spark, sf_dir)
+    spans = _hit(_seeds(own))
+    stronger = spans.unionAll(_hit(words.unordered_runs(own, spans)))
+    out = words.near_misses(toks, word_list(spark), words.SEED_LENGTHS[0], stronger)
+    for n in words.SEED_LENGTHS[1:]:
+        out = out.unionAll(words.near_misses(toks, word_list(spark), n, stronger))
+    return out.select("target", "needle", "start", "end", "gaps")
 
 
 def typo_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +236,7 @@ from found where contains(text, needle)""".format(count=len(_PATCH), lines=", ".
 QUERIES = {
     f.__name__: f
     for f in (
-        word_tokens, word_runs, seed_exact_12, seed_exact_all, unordered_runs, suppress_contained, slip39_shares, electrum_seeds, near_misses, typo_distance, typo_distance_all, electrum_files,
+        word_tokens, word_runs, seed_exact_12, seed_exact_all, unordered_runs, unordered_runs_all, suppress_contained, slip39_shares, electrum_seeds, near_misses, typo_distance, typo_distance_all, electrum_files,
         vault_shapes, secret_shapes, mkey_records, keystore_params, descriptors, union_detectors, token_words, token_variants, interval_merge, free_runs, page_dedupe,
         plurality_vote, topk_candidates, split_segments, patch_attribution,
     )
