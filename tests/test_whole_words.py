@@ -1,4 +1,4 @@
-"""Word queries that do the whole job where a query with an SQL twin keeps to a part of it."""
+"""Word queries over tokens of every length and seeds and shares of every length."""
 
 import re
 
@@ -40,7 +40,7 @@ def test_typos_of_all_lengths_equal_brute_force(spark, made):
         near = [(d, c) for d, c in near if d <= 2]
         if near:
             want[w] = (len(near), min(near)[0], min(c for _, c in near))
-    got = {r.word: (r.candidates, r.least_edits, r.first_candidate) for r in traces.typo_distance_all(spark, path).collect()}
+    got = {r.word: (r.candidates, r.least_edits, r.first_candidate) for r in traces.typo_distance(spark, path).collect()}
     assert got == want and {3, 5, 6} <= {len(w) for w in got}
 
 
@@ -63,4 +63,4 @@ def test_words_of_all_lengths(spark, made):
     assert ("doc-0", "slip39-33") in {(r.target, r.needle) for r in traces.slip39_shares(spark, path).collect()}
     assert ("doc-1", "bip39-15-near-miss") in {(r.target, r.needle) for r in traces.near_misses(spark, path).collect()}
     # the view plants a share of 20 words or the like in other documents; these two hold a share and a seed of 15 words
-    assert not {"doc-0", "doc-2"} & {r.target for r in traces.unordered_runs_all(spark, path).where("end - start > 70 and start = 0").collect()}
+    assert not {"doc-0", "doc-2"} & {r.target for r in traces.unordered_runs(spark, path).where("end - start > 70 and start = 0").collect()}

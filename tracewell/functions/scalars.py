@@ -63,17 +63,26 @@ def latin(data: Column) -> Column:
     return F.decode(data, "ISO-8859-1")
 
 
+def sums_before(numbers: Column, step: int = 256) -> Column:
+    """The sum of all numbers (bigint) before each one. It goes by chunks, so that the arrays that an aggregation appends
+    to stay short: its work is in proportion to n * step + (n / step)**2."""
+    whole = F.size(numbers)
+    begins = F.when(whole > 0, F.sequence(F.lit(1), F.greatest(whole, F.lit(1)), F.lit(step))).otherwise(F.array().cast("array<int>"))
+    parts = F.transform(begins, lambda a: F.slice(numbers, a, step))
+
+    def running(values: Column) -> Column:
+        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("sums"))
+        return F.aggregate(values, start, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["sums"], F.array(s["at"])).alias("sums")))["sums"]
+
+    totals = running(F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("bigint"), lambda a, n: a + n)))
+    return F.flatten(F.zip_with(parts, totals, lambda p, t: F.transform(running(p), lambda x: x + t)))
+
+
 def occurrences(text: Column, literal: str) -> Column:
     """Offsets (from 0) of the non-overlapping occurrences of a literal: running lengths of the parts between them."""
     parts = F.split(text, "\\Q" + literal + "\\E")
-    found = F.aggregate(
-        F.slice(parts, 1, F.size(parts) - 1),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out")),
-        lambda s, part: F.struct(
-            (s["at"] + F.length(part) + len(literal)).alias("at"), F.concat(s["out"], F.array((s["at"] + F.length(part)).cast("bigint"))).alias("out")
-        ),
-    )
-    return found["out"]
+    sizes = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.length(p).cast("bigint"))
+    return F.zip_with(sums_before(F.transform(sizes, lambda n: n + len(literal))), sizes, lambda at, n: at + n)
 
 
 def fingerprint(relative: Column, needle: Column, line: Column) -> Column:

@@ -58,10 +58,10 @@ def statistics(sources: DataFrame) -> DataFrame:
     return sources.select("target", "data").mapInArrow(run, "target string, size bigint, distinct_bytes bigint, printable_ratio double, entropy_bits double")
 
 
-def classes(hits: DataFrame, sources: DataFrame, reach: int = 4096) -> DataFrame:
-    """Adds class, magic_offset and entropy_bits of the bytes within `reach` of each hit: the nearest file magic (the
-    earlier one in precedence, then in place, wins ties), else text, high-entropy or unknown."""
-    rows = carved(hits.join(sources.select("target", "data"), "target"), reach)
+def classes(hits: DataFrame, reach: int = 4096) -> DataFrame:
+    """Adds class, magic_offset and entropy_bits of the bytes within `reach` of each hit (which carries its source's data):
+    the nearest file magic (the earlier one in precedence, then in place, wins ties), else text, high-entropy or unknown."""
+    rows = carved(hits, reach)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,6 +6,8 @@ A shape is a pattern on the one-character-a-byte view and a check of what it cap
 
 from __future__ import annotations
 
+import base64
+import binascii
 import json
 import re
 from collections.abc import Iterator
@@ -15,13 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import valid_base64
-
 ELECTRUM_FILE = r'(?s)"seed_version"\s*:\s*[0-9]+.{0,2000}?"wallet_type"\s*:\s*"[^"\\]*"|"wallet_type"\s*:\s*"[^"\\]*".{0,2000}?"seed_version"\s*:\s*[0-9]+'
-VAULT = r'\{"data":"([A-Za-z0-9+/=]+)","iv":"([A-Za-z0-9+/=]+)","salt":"([A-Za-z0-9+/=]+)"\}'
-VAULT_ESCAPED = VAULT.replace('"', '\\\\"')
 ACCESS_KEY, TOKEN = r"\bAKIA[A-Z0-9]{16}\b", r"\bgh[pousr]_[A-Za-z0-9]{36}\b"
 PEM = r"-----BEGIN ((?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY)-----\s+([A-Za-z0-9+/=\s]+?)-----END \1-----"
+REACH, _SPACE = 2048, rb"[ \t\r\n]*"
 RECORD = r"(?s)(?=(0.{48}\x08.{8}\x00{4}.{4}))"
 
 
@@ -49,11 +48,45 @@ def electrum_files(sources: DataFrame) -> DataFrame:
     return found(sources, "electrum-file", ELECTRUM_FILE, '"seed_version"')
 
 
+def decoded(text: bytes) -> bytes | None:
+    try:
+        return base64.b64decode(text, validate=True)
+    except (binascii.Error, ValueError):
+        return None
+
+
+def vault_spans(data: bytes) -> list[tuple[int, int]]:
+    """[start, end) of vaults in plain and escaped JSON: an "iv" of 16 bytes, and within REACH of it the first "data", of 16
+    bytes and more, and the first "salt", of 32, in any order, among any other keys, with any white space."""
+    out = []
+    for quote in (b'"', b'\\"'):
+        value = re.compile(_SPACE + b":" + _SPACE + re.escape(quote) + b'([^"]{0,%d})' % (REACH + len(quote) - 1) + re.escape(quote))
+        at = data.find(quote + b"iv" + quote)
+        while at >= 0:
+            low, high, found = max(0, at - REACH), min(len(data), at + REACH), []
+            for key, fits in ((b"iv", lambda n: n == 16), (b"data", lambda n: n >= 16), (b"salt", lambda n: n == 32)):
+                name = quote + key + quote
+                place = at if key == b"iv" else data.find(name, low, high)
+                m = value.match(data, place + len(name)) if place >= 0 else None
+                body = decoded(m[1]) if m else None
+                found.append((at if key == b"iv" else m.start(1), m.end(1)) if body is not None and fits(len(body)) else None)
+            if all(found):
+                out.append((min(a for a, _ in found), max(b for _, b in found)))
+            at = data.find(quote + b"iv" + quote, at + 1)
+    return out
+
+
 def vaults(sources: DataFrame) -> DataFrame:
-    """Vaults in plain and escaped JSON whose iv has 16, salt 32 and data at least 16 bytes."""
-    both = found(sources, "metamask-vault", VAULT, '"iv"').unionAll(found(sources, "metamask-vault", VAULT_ESCAPED, '\\"iv\\"'))
-    part = lambda k: F.regexp_extract(F.replace("text", F.lit("\\"), F.lit("")), VAULT, k)
-    return both.where(valid_base64(part(1), 16) & valid_base64(part(2), 16, 16) & valid_base64(part(3), 32, 32))
+    """(target, needle, offset, match_length) of vaults; the cheap anchor test comes first."""
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(t, a, b - a) for t, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for a, b in vault_spans(data)]
+            cols = list(zip(*rows)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32()))], ["target", "offset", "match_length"])
+
+    rows = sources.where(F.col("raw").contains('"iv"') | F.col("raw").contains('\\"iv\\"')).select("target", "data")
+    return rows.mapInArrow(spans, "target string, offset bigint, match_length int").select("target", F.lit("metamask-vault").alias("needle"), "offset", "match_length")
 
 
 def access_keys(sources: DataFrame) -> DataFrame:
@@ -124,6 +157,15 @@ def enclosing_objects(raw: str, anchor: str = '"ciphertext"', reach: int = 2048,
     return out
 
 
+def usable_keystore(text: str) -> bool:
+    """Has the object a 40-digit address, a hexadecimal ciphertext, a cipher and a kdf?"""
+    value = json.loads(text.lower())
+    crypto = value.get("crypto")
+    if not isinstance(crypto, dict) or not all(isinstance(crypto.get(k), str) for k in ("ciphertext", "cipher", "kdf")):
+        return False
+    return bool(re.fullmatch("(0x)?[0-9a-f]{40}", str(value.get("address"))) and re.fullmatch("[0-9a-f]+", crypto["ciphertext"]))
+
+
 def keystores(sources: DataFrame) -> DataFrame:
     """JSON objects around "ciphertext" with a 40-digit address and a usable cipher and kdf; text is the object."""
 
@@ -181,23 +223,29 @@ def descriptor_checksum(body: str) -> str | None:
     return "".join(DESCRIPTOR_OUTPUT[(c ^ 1) >> 5 * (7 - n) & 31] for n in range(8))
 
 
-def descriptors(sources: DataFrame) -> DataFrame:
-    """Checksummed descriptors: target, needle, offset, match_length; the nearest of up to 64 bodies before the mark."""
+def descriptor_start(text: str) -> int:
+    """Where the descriptor begins that the checksum at text's end fits: the nearest of up to 64 bodies; -1 if none."""
+    body, _, want = text.rpartition("#")
+    for n, m in enumerate(reversed(list(re.finditer(r"[A-Za-z0-9_]+(?=\()", body)))):
+        if n == 64:
+            break
+        if len(body) - m.start() >= 12 and descriptor_checksum(body[m.start() :]) == want:
+            return m.start()
+    return -1
 
-    def valid(text: str) -> int:
-        body, _, want = text.rpartition("#")
-        for n, m in enumerate(reversed(list(re.finditer(r"[A-Za-z0-9_]+(?=\()", body)))):
-            if n == 64:
-                break
-            if len(body) - m.start() >= 12 and descriptor_checksum(body[m.start() :]) == want:
-                return m.start()
-        return -1
+
+def descriptor_spans(raw: str) -> list[tuple[int, int]]:
+    """(offset, length) of the descriptors of a text."""
+    found = [(m.start(), m[0], descriptor_start(m[0])) for m in re.finditer(DESCRIPTOR, raw)]
+    return [(at + skip, len(text) - skip) for at, text, skip in found if skip >= 0]
+
+
+def descriptors(sources: DataFrame) -> DataFrame:
+    """Checksummed descriptors: target, needle, offset, match_length."""
 
     @F.pandas_udf("int")
     def start(texts: pd.Series) -> pd.Series:
-        return texts.map(valid).astype("int32")
+        return texts.map(descriptor_start).astype("int32")
 
     rows = found(sources, "descriptor", DESCRIPTOR, ")#").withColumn("skip", start("text")).where("skip >= 0")
     return rows.select("target", "needle", (F.col("offset") + F.col("skip")).alias("offset"), (F.col("match_length") - F.col("skip")).alias("match_length"))
-
-

@@ -23,20 +23,37 @@ _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
 
-def tokens(sources: DataFrame) -> DataFrame:
+def letter_runs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every maximal run of ASCII letters."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], _LETTER[np.frombuffer(data, np.uint8)], [False]])))
+    return edge[0::2], edge[1::2]
+
+
+def tokens(sources: DataFrame, most: int = 1 << 18) -> DataFrame:
     """(target, pos, start, end, word) of every maximal run of ASCII letters in data (binary), in lower case."""
 
+    def made(parts: list[tuple]) -> pa.RecordBatch:
+        target = pa.concat_arrays([pa.repeat(pa.scalar(t, pa.string()), len(a)) for t, _, a, _, _ in parts])
+        pos, start, end = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+        low = [p[4] for p in parts]
+        word = [x[a:b] for x, p in zip(low, parts) for a, b in zip(p[2].tolist(), p[3].tolist())]
+        return pa.RecordBatch.from_arrays([target, pa.array(pos), pa.array(start), pa.array(end), pa.array(word, pa.binary()).cast(pa.string())], ["target", "pos", "start", "end", "word"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
-            for row in range(batch.num_rows):
-                data = batch.column(1)[row].as_py() or b""
-                raw = np.frombuffer(data, np.uint8)
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], _LETTER[raw], [False]])))
-                start, end = edge[0::2], edge[1::2]
-                low = data.lower()
-                word = pa.array([low[a:b].decode() for a, b in zip(start.tolist(), end.tolist())], pa.string())
-                target = pa.array([batch.column(0)[row].as_py()] * len(start), pa.string())
-                yield pa.RecordBatch.from_arrays([target, pa.array(np.arange(len(start), dtype=np.int64)), pa.array(start), pa.array(end), word], ["target", "pos", "start", "end", "word"])
+            for target, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                start, end = letter_runs(data or b"")
+                low = (data or b"").lower()
+                for k in range(0, len(start), most):
+                    own = start[k : k + most], end[k : k + most]
+                    parts.append((target, np.arange(k, k + len(own[0]), dtype=np.int64), *own, low))
+                    held += len(own[0])
+                    if held >= most:
+                        yield made(parts)
+                        parts, held = [], 0
+        if parts:
+            yield made(parts)
 
     return sources.select("target", "data").mapInArrow(cut, "target string, pos bigint, start bigint, end bigint, word string")
 
@@ -132,37 +149,26 @@ def without_contained(weak: DataFrame, strong: DataFrame, outer: bool = False, s
     return weak.join(s, (F.col("target") == F.col("t")) & inside, "left_anti")
 
 
-def typos(toks: DataFrame, words: DataFrame) -> DataFrame:
-    """(word, candidates): listed words within two edits of each distinct token of up to 10 letters that isn't listed.
-
-    Every distinct token meets the word list, which is of fixed size, in a broadcast; edits are cut off at two.
-    """
-    own = toks.where(F.length("word").between(3, 10)).select("word").distinct().join(F.broadcast(words.select("word")), "word", "left_anti")
-    near = own.join(F.broadcast(words.select(F.col("word").alias("candidate"))), F.abs(F.length("word") - F.length("candidate")) <= 2)
-    near = near.withColumn("edits", F.levenshtein("word", "candidate", 2)).where("edits >= 0")
-    return near.groupBy("word").agg(F.count("*").alias("candidates"), F.min("edits").alias("least_edits"), F.min("candidate").alias("first_candidate"))
-
+def deletions(word: str, edits: int = 2) -> list[str]:
+    """The word and what is left of it when up to `edits` of its letters go: two words within so many edits share one."""
+    out = {word}
+    for _ in range(edits):
+        out |= {w[:k] + w[k + 1 :] for w in out for k in range(len(w))}
+    return sorted(out)
 
-def near_misses(toks: DataFrame, words: DataFrame, n: int, exact: DataFrame) -> DataFrame:
-    """Windows of n tokens with one or two that aren't listed, outside exact seeds: target, start, end, gaps.
 
-    The count of gaps is a running sum, so that windows are dismissed before anything is collected. A window whose
-    unknown token stands at an edge while the run of listed words goes on past the other edge is no near miss.
-    """
-    marked = toks.join(F.broadcast(words), "word", "left").withColumn("gap", F.col("ix").isNull().cast("int"))
-    w = Window.partitionBy("target").orderBy("pos")
-    own = w.rowsBetween(0, n - 1)
-    out = marked.select(
-        "target", "pos", "start", F.max("end").over(own).alias("end"), F.sum("gap").over(own).alias("unknown"), F.count("*").over(own).alias("size"),
-        F.collect_list("gap").over(own).alias("gaps"), F.lag("gap").over(w).alias("before"), F.lead("gap", n).over(w).alias("after"),
-    )
-    out = out.where((F.col("size") == n) & F.col("unknown").between(1, 2) & (F.col("end") - F.col("start") <= MAX_SPAN))
-    first, last = F.try_element_at("gaps", F.lit(1)) == 1, F.try_element_at("gaps", F.lit(-1)) == 1
-    out = out.where(~(first & (F.coalesce("after", F.lit(1)) == 0)) & ~(last & (F.coalesce("before", F.lit(1)) == 0)))
-    spans = out.select("target", F.lit(f"bip39-{n}-near-miss").alias("needle"), "start", "end", F.expr("transform(filter(sequence(0, size(gaps) - 1), i -> gaps[i] = 1), i -> i)").alias("gaps"))
-    return without_overlap(spans, exact)
+def typos(toks: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, candidates, least_edits, first_candidate): listed words within two edits of each distinct token of 3 to 10
+    letters that isn't listed. Tokens and words meet where they share what is left after up to two deletions, which words
+    within two edits always do, so that no token is held against the whole list."""
 
+    @F.arrow_udf("array<string>")
+    def left(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for own in batches:
+            yield pa.array([deletions(w) for w in own.to_pylist()], pa.list_(pa.string()))
 
-def without_overlap(weak: DataFrame, strong: DataFrame) -> DataFrame:
-    s = strong.select(F.col("target").alias("t"), F.col("start").alias("a"), F.col("end").alias("b"))
-    return weak.join(s, (F.col("target") == F.col("t")) & (F.col("start") < F.col("b")) & (F.col("a") < F.col("end")), "left_anti")
+    own = toks.where(F.length("word").between(3, 10)).select("word").distinct().join(F.broadcast(words.select("word")), "word", "left_anti")
+    known = words.select(F.col("word").alias("candidate")).withColumn("key", F.explode(left("candidate")))
+    pairs = own.withColumn("key", F.explode(left("word"))).join(known, "key").select("word", "candidate").distinct()
+    near = pairs.withColumn("edits", F.levenshtein("word", "candidate", 2)).where("edits >= 0")
+    return near.groupBy("word").agg(F.count("*").alias("candidates"), F.min("edits").alias("least_edits"), F.min("candidate").alias("first_candidate"))

@@ -54,10 +54,9 @@ def classify_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits as two overlapping runs report them: seq orders the reports."""
-    own = hits(spark, sf_dir)
-    again = own.where("offset % 2 = 0")
-    return own.withColumn("seq", F.lit(1)).unionByName(again.withColumn("seq", F.lit(2)))
+    """Hits as three overlapping runs report them, every hit by some of them; seq orders the reports. One scan serves all."""
+    runs = F.filter(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: (k == 3) | (F.col("offset") % (k + 1) == 0))
+    return hits(spark, sf_dir).withColumn("seq", F.explode(runs))
 
 
 def report_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +85,7 @@ def playbook(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = hits(spark, sf_dir).join(viewed(spark, sf_dir).select("target", "raw"), "target")
+    rows = literals.literal_hits(viewed(spark, sf_dir), NEEDLES, keep=("raw",))
     line = F.encode(scalars.match_line(F.col("raw"), F.col("offset"), F.col("match_length")), "ISO-8859-1")
     return rows.select("target", "needle", "offset", scalars.fingerprint(F.col("target"), F.col("needle"), line).alias("fingerprint"))
 
@@ -104,7 +103,7 @@ def baseline_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def carve_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 64 bytes around each hit, in hex."""
-    rows = hits(spark, sf_dir).join(viewed(spark, sf_dir).select("target", "data"), "target")
+    rows = literals.literal_hits(viewed(spark, sf_dir), NEEDLES, keep=("data",))
     return carving.carved(rows, 64).select("target", "needle", "offset", F.lower(F.hex("carve")).alias("carve_hex"))
 
 
@@ -113,7 +112,9 @@ def entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def carve_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return carving.classes(hits(spark, sf_dir), viewed(spark, sf_dir)).select("target", "needle", "offset", "class", "magic_offset", "entropy_bits")
+    """magic_offset is -1 where no magic is near."""
+    rows = carving.classes(literals.literal_hits(viewed(spark, sf_dir), NEEDLES, keep=("data",)))
+    return rows.select("target", "needle", "offset", "class", F.coalesce("magic_offset", F.lit(-1)).alias("magic_offset"), "entropy_bits")
 
 
 def source_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,10 +188,11 @@ ORACLE = {
     "from_offset": f'with {HITS_SQL} select target, needle, "offset", (("offset" + match_length - 1001) // 4096 * 4096 + 1000)::bigint as block_offset, match_length from hits where "offset" >= 1000',
     "human_text": f"with {HITS_SQL} select 'Found ''' || needle || ''' at ' || target || ' in 4kB block at byte offset ' || block_offset as description from blocked",
     "classify_hits": f'with {HITS_SQL}, c as (select *, {CLASS_SQL} as k from hits) select target, "offset", needle, k.type as type, k.confidence as confidence, k.encrypted as encrypted from c',
-    "report_dedupe": f'with {HITS_SQL} select target, needle, "offset", 1 as seq from hits',
-    "report_totals": f"""with {HITS_SQL}, c as (select *, {CLASS_SQL} as k from hits)
-      select (count(*) + count_if("offset" % 2 = 0))::bigint as total, count(*) as unique_hits, count_if("offset" % 2 = 0)::bigint as duplicates,
-        count(distinct target) as targets, count_if(k.encrypted)::bigint as encrypted from c""",
+    "report_dedupe": f'with {HITS_SQL}, r as (select *, unnest([1, 2, 3]) as k from hits) select target, needle, "offset", min(k)::int as seq from r where k = 3 or "offset" % (k + 1) = 0 group by 1, 2, 3',
+    "report_totals": f"""with {HITS_SQL}, r as (select *, unnest([1, 2, 3]) as run from hits), c as (select *, {CLASS_SQL} as k from r where run = 3 or "offset" % (run + 1) = 0),
+      u as (select target, needle, "offset", count(*) as n, any_value(k) as k from c group by 1, 2, 3)
+      select sum(n)::bigint as total, count(*) as unique_hits, sum(n - 1)::bigint as duplicates,
+        count(distinct target) as targets, count_if(k.encrypted)::bigint as encrypted from u""",
     "report_counts": f"with {HITS_SQL}, c as (select *, {CLASS_SQL} as k from hits) select k.type as type, count(*) as hits, count_if(k.encrypted)::bigint as encrypted from c group by 1",
     "report_spans": f'with {HITS_SQL} select target, min("offset") as first_offset, max("offset") as last_offset, count(*) as hits from hits group by 1',
     "report_order": f'with {HITS_SQL} select target, "offset", needle from hits order by target, "offset", needle limit 50',
@@ -203,6 +205,20 @@ ORACLE = {
       lower(substr(raw, (2 * greatest("offset" - 64, 0) + 1)::int, (2 * ("offset" + match_length + 64 - greatest("offset" - 64, 0)))::int)) as carve_hex from hexed""",
     "entropy": f"""with {_STATS} select target, total::bigint as size, count(*) as distinct_bytes, round(max(printable) / max(total), 4) as printable_ratio,
       round(-sum(n / total * log2(n / total)), 2) as entropy_bits from counted join summed using (target) group by target, total""",
+    "carve_class": f"""with {HITS_SQL},
+      cut as (select h.target, needle, "offset", greatest("offset" - 4096, 0) as start, substr(hex(encode(body)), (2 * greatest("offset" - 4096, 0) + 1)::int,
+          (2 * ("offset" + match_length + 4096 - greatest("offset" - 4096, 0)))::int) as w from hits h join evidence e on e.target = h.target),
+      bytes as (select target, needle, "offset", unnest(regexp_extract_all(w, '..')) as b from cut),
+      counted as (select target, needle, "offset", b, count(*) as n from bytes group by 1, 2, 3, 4),
+      summed as (select target, needle, "offset", sum(n) as total, sum(case when b in ('09', '0A', '0D') or b between '20' and '7E' then n else 0 end) as printable from counted group by 1, 2, 3),
+      stats as (select target, needle, "offset", max(printable) / max(total) as share, -sum(n / total * log2(n / total)) as bits from counted join summed using (target, needle, "offset") group by 1, 2, 3),
+      magic as (select *, string_split(w, m) as p from cut, (values {", ".join(f"({i}, '{k}', '{m.upper()}')" for i, (k, m) in enumerate(scalars.MAGICS))}) v(nth, kind, m)),
+      split as (select target, needle, "offset", start, nth, kind, m, p, unnest(range(1, len(p))) as i from magic where len(p) > 1),
+      placed as (select *, list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * length(m) as hex_at from split),
+      best as (select target, needle, "offset", kind, (start + hex_at // 2)::bigint as magic_offset from placed where hex_at % 2 = 0
+        qualify row_number() over (partition by target, needle, "offset" order by abs(start + hex_at // 2 - "offset"), nth, hex_at) = 1)
+      select target, needle, "offset", coalesce(kind, case when share >= 0.9 then 'text' when bits >= 7.0 then 'high-entropy' else 'unknown' end) as class, coalesce(magic_offset, -1)::bigint as magic_offset, round(bits, 2) as entropy_bits
+      from stats left join best using (target, needle, "offset")""",
     "source_hashes": f"with {EVIDENCE_SQL} select target, octet_length(encode(body))::bigint as size, sha256(body) as sha256, md5(body) as md5 from evidence",
     "verify_log": f"""with {EVIDENCE_SQL}, n as (select target, doc_id from evidence)
       select target, case when doc_id % 11 = 0 then 'NOT LOGGED' when doc_id % 13 = 0 then 'NOT SCANNED' when doc_id % 7 = 0 then 'MISMATCH' else 'OK' end as verdict from n""",

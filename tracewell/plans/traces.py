@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import intervals, literals, patch, shapes, words
-from .evidence import EVIDENCE_SQL, NEEDLES, PLANTS, RULE_WORDS, RULE_WORDS_SQL, viewed
-from .hits import HITS_SQL, hits
+from ..model import ScanOptions
+from ..operators import intervals, literals, patch, scan, shapes, words
+from ..sources import files
+from .evidence import DESCRIPTOR_SQL_CHARACTERS, EVIDENCE_SQL, NEEDLES, RULE_WORDS, RULE_WORDS_SQL, VERSIONED_WINDOWS, evidence, viewed
+from .hits import HITS_SQL
 
 
 def word_list(spark: SparkSession, n: int = 2048) -> DataFrame:
@@ -60,12 +62,7 @@ def seed_exact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unordered_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _listed(spark, sf_dir)
-    return _hit(words.unordered_runs(own, words.seeds(own, 12)))
-
-
-def unordered_runs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs that hold no seed or share of any kind and length; unordered_runs keeps to its SQL twin's seeds of 12 words."""
+    """Runs that hold no seed or share of any kind and length."""
     own = _listed(spark, sf_dir)
     return _hit(words.unordered_runs(own, _seeds(own).unionAll(words.versioned_seeds(own)).unionAll(_shares(_listed(spark, sf_dir, 1024)))))
 
@@ -85,23 +82,22 @@ def electrum_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hit(words.without_contained(words.versioned_seeds(own), _seeds(own, words.SEED_LENGTHS[1:]), strictly=True))
 
 
-def near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of all seed lengths, away from exact seeds and from runs that hold none."""
-    toks, own = _tokens(spark, sf_dir), _listed(spark, sf_dir)
-    spans = _hit(_seeds(own))
-    stronger = spans.unionAll(_hit(words.unordered_runs(own, spans)))
-    out = words.near_misses(toks, word_list(spark), words.SEED_LENGTHS[0], stronger)
-    for n in words.SEED_LENGTHS[1:]:
-        out = out.unionAll(words.near_misses(toks, word_list(spark), n, stronger))
-    return out.select("target", "needle", "start", "end", "gaps")
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.scan_all(evidence(spark, sf_dir), NEEDLES, RULE_WORDS, ScanOptions(profile="secrets"))
 
 
-def typo_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words.typos(_tokens(spark, sf_dir).where("length(word) = 4"), word_list(spark))
+def scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All detections of all detectors, from one pass over the sources."""
+    return _scanned(spark, sf_dir).select("target", "needle", "offset", "match_length", "block_offset", "verified", "fingerprint")
 
 
-def typo_distance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As typo_distance, for tokens of every length that the operator takes; that one keeps to its SQL twin's four letters."""
+def near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of all seed lengths with one or two unlisted words, away from stronger evidence."""
+    rows = _scanned(spark, sf_dir).where(F.col("needle").endswith("-near-miss"))
+    return rows.select("target", "needle", F.col("offset").alias("start"), (F.col("offset") + F.col("match_length")).alias("end"), "gaps", "typos", "validating")
+
+
+def typo_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.typos(_tokens(spark, sf_dir), word_list(spark))
 
 
@@ -134,14 +130,9 @@ def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def union_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits by needle of all native detectors together."""
-    own, listed = viewed(spark, sf_dir), _listed(spark, sf_dir)
-    parts = [hits(spark, sf_dir).select("target", "needle"), words.seeds(listed, 12).select("target", "needle"), shapes.electrum_files(own).select("target", "needle"),
-             shapes.vaults(own).select("target", "needle"), shapes.secrets(own, "secrets").select("target", "needle")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("needle").agg(F.count("*").alias("hits"), F.countDistinct("target").alias("targets"))
+    """Hits by needle of all detectors together; near misses are a query of their own."""
+    rows = _scanned(spark, sf_dir).where(~F.col("needle").endswith("-near-miss"))
+    return rows.groupBy("needle").agg(F.count("*").alias("hits"), F.countDistinct("target").alias("targets"), F.sum("offset").alias("offsets"), F.sum("match_length").alias("lengths"))
 
 
 def token_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,12 +178,13 @@ def topk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a source as consecutive segments of one image: each with its offset in it."""
+    """Documents of a source as numbered segments of one image, of which number 41 is missing: what follows isn't part of it."""
     from pyspark.sql.window import Window
 
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("size"))
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return d.select("source", "doc_id", F.coalesce(F.sum("size").over(w), F.lit(0)).cast("bigint").alias("start"), "size")
+    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    named = d.withColumn("n", n + (n > 40).cast("int")).withColumn("target", F.format_string("%s.%03d", "source", "n"))
+    return files.segment_order(named).select("image", "n", "target", "start", "size")
 
 
 # A patch series a document: a message that names a needle, then hunks whose lines carry the document's number.
@@ -236,7 +228,7 @@ from found where contains(text, needle)""".format(count=len(_PATCH), lines=", ".
 QUERIES = {
     f.__name__: f
     for f in (
-        word_tokens, word_runs, seed_exact_12, seed_exact_all, unordered_runs, unordered_runs_all, suppress_contained, slip39_shares, electrum_seeds, near_misses, typo_distance, typo_distance_all, electrum_files,
+        word_tokens, word_runs, seed_exact_12, seed_exact_all, unordered_runs, suppress_contained, slip39_shares, electrum_seeds, near_misses, typo_distance, scan_all, electrum_files,
         vault_shapes, secret_shapes, mkey_records, keystore_params, descriptors, union_detectors, token_words, token_variants, interval_merge, free_runs, page_dedupe,
         plurality_vote, topk_candidates, split_segments, patch_attribution,
     )
@@ -278,52 +270,79 @@ def _polymod_sql(prefix: str) -> str:
     return f"list_reduce(list_concat([1::bigint], list_concat([{', '.join(f'{ord(c)}::bigint' for c in prefix)}], list_transform(ixs, lambda x: x::bigint))), lambda a, b: xor(xor((a & 1048575) << 10, b), {mixed}))"
 
 
+_SHARES_SQL = f"""with {TOKENS_SQL.replace("from range(2048)", "from range(1024)")}, {", ".join(_windows_sql(n).split("," + chr(10) + f"bits{n}")[0] for n in words.SHARE_LENGTHS)},
+      shared as ({" union all ".join(f"select *, 'slip39-{n}' as needle from full{n}" for n in words.SHARE_LENGTHS)})
+      select target, needle, start, "end" from shared
+      where ((ixs[3] >> 2) & 15) <= (((ixs[3] & 3) << 2) | (ixs[4] >> 8)) and (case when (ixs[2] >> 4) & 1 = 1 then {_polymod_sql("shamir_extendable")} else {_polymod_sql("shamir")} end) = 1"""
+_ALL_SEEDS_SQL = " union all ".join(f'select target, needle, start, "end" from seeds{n}' for n in words.SEED_LENGTHS)
+#: SQL has no HMAC-SHA512: which windows of the planted phrases have a version prefix is worked out beforehand.
+_ELECTRUM_CTE = f"""versioned as (select target, 'electrum-seed' as needle, start, "end" from full12 where array_to_string(ixs, ' ') in ({", ".join(f"'{w}'" for w in VERSIONED_WINDOWS)}))"""
+QUOTE = '"'
+
+
+def _vault_sql(name: str, quote: str) -> str:
+    """The first vault of each body whose keys stand between such quotes (evidence plants one)."""
+    value = lambda key: f"""regexp_extract(substr(body, strpos(body, '{quote}{key}{quote}')), '^{quote.replace(chr(92), chr(92) * 2)}{key}{quote.replace(chr(92), chr(92) * 2)}\\s*:\\s*{quote.replace(chr(92), chr(92) * 2)}([^"\\\\]*){quote.replace(chr(92), chr(92) * 2)}', 1)"""
+    return f"""{name}_values as (select target, body, {value("data")} as d, {value("iv")} as i, {value("salt")} as s, strpos(body, '{quote}iv{quote}') as p from evidence where strpos(body, '{quote}iv{quote}') > 0),
+      {name}_spans as (select *, list_min([p, strpos(body, d), strpos(body, s)]) as a, list_max([strpos(body, d) + length(d), strpos(body, i) + length(i), strpos(body, s) + length(s)]) as b from {name}_values
+        where d <> '' and i <> '' and s <> '' and length(d) % 4 = 0 and length(i) % 4 = 0 and length(s) % 4 = 0),
+      {name} as (select target, 'metamask-vault' as needle, octet_length(encode(left(body, (a - 1)::int)))::bigint as "offset", (b - a)::int as match_length from {name}_spans
+        where octet_length(from_base64(d)) >= 16 and octet_length(from_base64(i)) = 16 and octet_length(from_base64(s)) = 32)"""
+
+
 def _at(pattern_hit: str) -> str:
     return f"octet_length(encode(left(body, (strpos(body, {pattern_hit}) - 1)::int)))::bigint"
 
 
+def _descriptor_sql() -> str:
+    mixed = "0::bigint"
+    for i, g in enumerate(shapes.DESCRIPTOR_GENERATORS):
+        mixed = f"xor({mixed}, (case when (a >> {35 + i}) & 1 = 1 then {g} else 0 end)::bigint)"
+    step = f"xor(xor((a & {0x7FFFFFFFF}) << 5, b), {mixed})"
+    return f"""with {EVIDENCE_SQL}, m as (select target, body, regexp_extract(body, 'pkh\\([0-9a-f]{{66}}\\)#[a-z0-9]{{8}}') as x from evidence),
+      p as (select *, list_transform(string_split(split_part(x, '#', 1), ''), lambda c: strpos({DESCRIPTOR_SQL_CHARACTERS}, c)::bigint - 1) as pos from m where x <> ''),
+      v as (select *, flatten(list_transform(range(0, ((len(pos) + 2) // 3)::int), lambda k: list_append(list_transform(pos[3 * k + 1:3 * k + 3], lambda y: y & 31),
+        list_reduce(list_prepend(0::bigint, list_transform(pos[3 * k + 1:3 * k + 3], lambda y: y >> 5)), lambda a, b: a * 3 + b)))) as v from p),
+      c as (select *, xor(list_reduce(list_concat([1::bigint], list_concat(v, list_transform(range(8), lambda k: 0::bigint))), lambda a, b: {step}), 1) as c from v)
+      select target, 'descriptor' as needle, {_at("x")} as "offset", length(x)::int as match_length from c
+      where array_to_string(list_transform(range(8), lambda n: substr('{shapes.DESCRIPTOR_OUTPUT}', ((c >> (5 * (7 - n))::int) & 31)::int + 1, 1)), '') = split_part(x, '#', 2)"""
+
+
+_DESCRIPTORS_SQL = _descriptor_sql()
+
 ORACLE = {
     "word_tokens": f'with {TOKENS_SQL} select target, pos, start, "end", ix from listed',
     "word_runs": f'with {TOKENS_SQL} select target, min(start) as start, max("end") as "end", count(*) as words from runs group by target, run having count(*) >= 12',
     "seed_exact_12": f'{_SEEDS_SQL} select target, needle, start, "end" from seeds12',
     "seed_exact_all": f"with {TOKENS_SQL}, {', '.join(_windows_sql(n) for n in words.SEED_LENGTHS)} " + " union all ".join(f'select target, needle, start, "end" from seeds{n}' for n in words.SEED_LENGTHS),
-    "unordered_runs": f"""{_SEEDS_SQL}, r as (select target, min(start) as start, max("end") as "end" from runs group by target, run having count(*) >= 12)
-      select target, 'bip39-unordered' as needle, start, "end" from r where not exists (select 1 from seeds12 s where s.target = r.target and s.start >= r.start and s."end" <= r."end")""",
+    "unordered_runs": f"""with {TOKENS_SQL}, {', '.join(_windows_sql(n) for n in words.SEED_LENGTHS)}, shares as ({_SHARES_SQL}), {_ELECTRUM_CTE},
+      strong as ({_ALL_SEEDS_SQL} union all select target, needle, start, "end" from versioned union all select target, needle, start, "end" from shares),
+      r as (select target, min(start) as start, max("end") as "end" from runs group by target, run having count(*) >= 12)
+      select target, 'bip39-unordered' as needle, start, "end" from r where not exists (select 1 from strong s where s.target = r.target and s.start >= r.start and s."end" <= r."end")""",
     "suppress_contained": f"""{_SEEDS_SQL} select target, start, "end" from full12 w where not exists (
       select 1 from seeds12 s where s.target = w.target and w.start >= s.start and w."end" <= s."end")""",
-    "slip39_shares": f"""with {TOKENS_SQL.replace("from range(2048)", "from range(1024)")}, {_windows_sql(20).split("," + chr(10) + "bits20")[0]}
-      select target, 'slip39-20' as needle, start, "end" from full20
-      where ((ixs[3] >> 2) & 15) <= (((ixs[3] & 3) << 2) | (ixs[4] >> 8)) and (case when (ixs[2] >> 4) & 1 = 1 then {_polymod_sql("shamir_extendable")} else {_polymod_sql("shamir")} end) = 1""",
-    "typo_distance": f"""with {TOKENS_SQL}, l as {RULE_WORDS_SQL}, own as (select distinct word from tokens where length(word) = 4 and word not in (select word from l)),
-      near as (select own.word, l.word as candidate, levenshtein(own.word, l.word) as edits from own, l)
-      select word, count(*) as candidates, min(edits)::int as least_edits, min(candidate) as first_candidate from near where edits <= 2 group by word""",
-    "electrum_files": f"""with {EVIDENCE_SQL}, m as (select target, body, regexp_extract(body, '"seed_version"\\s*:\\s*[0-9]+.{{0,900}}?"wallet_type"\\s*:\\s*"[^"\\\\]*"') as x from evidence where contains(body, '"seed_version"'))
-      select target, 'electrum-file' as needle, {_at("x")} as "offset", length(x)::int as match_length from m where x <> ''""",
-    "vault_shapes": f"""with {EVIDENCE_SQL}, m as (select target, body, unnest([regexp_extract(body, '\\{{"data":"[A-Za-z0-9+/=]+","iv":"[A-Za-z0-9+/=]+","salt":"[A-Za-z0-9+/=]+"\\}}'),
-        regexp_extract(body, '\\{{\\\\"data\\\\":\\\\"[A-Za-z0-9+/=]+\\\\",\\\\"iv\\\\":\\\\"[A-Za-z0-9+/=]+\\\\",\\\\"salt\\\\":\\\\"[A-Za-z0-9+/=]+\\\\"\\}}')]) as x from evidence),
-      p as (select *, regexp_extract(replace(x, '\\', ''), '"data":"([^"]*)","iv":"([^"]*)","salt":"([^"]*)"', ['d', 'i', 's']) as v from m where x <> '')
-      select target, 'metamask-vault' as needle, {_at("x")} as "offset", length(x)::int as match_length from p
-      where octet_length(from_base64(v.d)) >= 16 and octet_length(from_base64(v.i)) = 16 and octet_length(from_base64(v.s)) = 32""",
+    "slip39_shares": _SHARES_SQL,
+    "electrum_seeds": f"""with {TOKENS_SQL}, {', '.join(_windows_sql(n) for n in words.SEED_LENGTHS)}, {_ELECTRUM_CTE}, longer as (select * from ({_ALL_SEEDS_SQL}) where needle <> 'bip39-12')
+      select target, needle, start, "end" from versioned v where not exists (select 1 from longer s where s.target = v.target and v.start >= s.start and v."end" <= s."end")""",
+    "electrum_files": f"""with {EVIDENCE_SQL}, m as (select target, body, regexp_extract(body, '"seed_version"\\s*:\\s*[0-9]+') as s, regexp_extract(body, '"wallet_type"\\s*:\\s*"[^"\\\\]*"') as w from evidence),
+        p as (select *, strpos(body, s) as ps, strpos(body, w) as pw from m where s <> '' and w <> ''),
+        x as (select target, body, case when ps < pw then ps else pw end as a, case when ps < pw then pw + length(w) else ps + length(s) end as b,
+          case when ps < pw then pw - ps - length(s) else ps - pw - length(w) end as gap from p)
+      select target, 'electrum-file' as needle, octet_length(encode(left(body, (a - 1)::int)))::bigint as "offset", (b - a)::int as match_length from x where gap <= 2000""",
+    "vault_shapes": f"with {EVIDENCE_SQL}, {_vault_sql('plain', QUOTE)}, {_vault_sql('escaped', chr(92) + QUOTE)} select * from plain union all select * from escaped",
     "secret_shapes": f"""with {EVIDENCE_SQL}, m as (
         select target, body, 'aws-access-key' as needle, regexp_extract(body, '\\bAKIA[A-Z0-9]{{16}}\\b') as x from evidence
         union all select target, body, 'github-token', regexp_extract(body, '\\bgh[pousr]_[A-Za-z0-9]{{36}}\\b') from evidence
-        union all select target, body, 'pem-private-key', regexp_extract(body, '-----BEGIN PRIVATE KEY-----\\s+[A-Za-z0-9+/=\\s]+?-----END PRIVATE KEY-----') from evidence)
-      select target, needle, {_at("x")} as "offset", length(x)::int as match_length, needle = 'pem-private-key' as verified from m where x <> ''""",
+        union all select target, body, 'pem-private-key', regexp_extract(body, '-----BEGIN (OPENSSH )?PRIVATE KEY-----\\s+[A-Za-z0-9+/=\\s]+?-----END (OPENSSH )?PRIVATE KEY-----') from evidence)
+      select target, needle, {_at("x")} as "offset", length(x)::int as match_length, needle = 'pem-private-key' and not contains(x, 'OPENSSH') as verified from m where x <> ''""",
     "mkey_records": f"""with {EVIDENCE_SQL}, m as (select target, body, regexp_extract(body, '(?s)0[\\x00-\\x7f]{{48}}\\x08[\\x00-\\x7f]{{8}}\\x00{{4}}[\\x00-\\x7f]{{4}}') as x from evidence where contains(body, chr(8)))
       select target, {_at("x")} as "offset", (ascii(substr(x, 63, 1)) + 256 * ascii(substr(x, 64, 1)) + 65536 * ascii(substr(x, 65, 1)) + 16777216 * ascii(substr(x, 66, 1)))::bigint as iterations
       from m where x <> ''""",
     "keystore_params": f"""with {EVIDENCE_SQL}, m as (select target, body, regexp_extract(body, '\\{{"address":"[0-9a-f]{{40}}","crypto":.*"version":3\\}}') as x from evidence)
-      select target, {_at("x")} as "offset", json_extract_string(x, '$.crypto.kdf') as kdf, null::varchar as reason from m where x <> ''""",
-    "descriptors": f"""with {EVIDENCE_SQL}, m as (select target, body, regexp_extract(body, 'pkh\\([0-9a-f]{{66}}\\)#[a-z0-9]{{8}}') as x from evidence)
-      select target, 'descriptor' as needle, {_at("x")} as "offset", length(x)::int as match_length from m where x <> ''""",
-    "union_detectors": f"""with {HITS_SQL}, {TOKENS_SQL.removeprefix(EVIDENCE_SQL + ",")}, {_windows_sql(12)}, own as (
-        select target, needle from hits union all select target, needle from seeds12
-        union all select target, 'electrum-file' from evidence where contains(body, '"seed_version"')
-        union all select target, 'metamask-vault' from evidence where contains(body, '"iv"') and contains(body, '"data"') or contains(body, '\\"iv\\"')
-        union all select target, 'aws-access-key' from evidence where regexp_matches(body, '\\bAKIA[A-Z0-9]{{16}}\\b')
-        union all select target, 'github-token' from evidence where regexp_matches(body, '\\bgh[pousr]_[A-Za-z0-9]{{36}}\\b')
-        union all select target, 'pem-private-key' from evidence where contains(body, 'BEGIN PRIVATE KEY'))
-      select needle, count(*) as hits, count(distinct target) as targets from own group by needle""",
+      select target, {_at("x")} as "offset", json_extract_string(x, '$.crypto.kdf') as kdf,
+        case when json_extract_string(x, '$.crypto.kdfparams.n')::int > 0 then null else 'scrypt parameters' end as reason from m where x <> ''""",
+    "descriptors": _DESCRIPTORS_SQL,
+    "union_detectors": None,
     "token_words": f"""with {EVIDENCE_SQL}, t as (select target, unnest(regexp_extract_all(body, '[A-Za-z0-9]+')) as token from evidence)
       select target, count(*) as tokens, count(distinct token) as distinct_tokens, min(token) as least, max(token) as greatest from t where length(token) between 3 and 32 group by target""",
     "token_variants": f"""with {EVIDENCE_SQL}, t as (select distinct target, unnest(regexp_extract_all(body, '[A-Za-z0-9]+')) as token from evidence),
@@ -341,7 +360,17 @@ ORACLE = {
     "plurality_vote": """with n as (select user_id, event_type, count(*) as votes, min(event_id) as seen from events group by 1, 2)
       select user_id, event_type, votes from n qualify row_number() over (partition by user_id order by votes desc, seen, event_type) = 1""",
     "topk_candidates": "select o_orderkey, o_custkey, o_totalprice from orders order by o_totalprice, o_custkey, o_orderkey limit 128",
-    "split_segments": """select source, doc_id, coalesce(sum(octet_length(encode(coalesce(text, '')))) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as start,
-      octet_length(encode(coalesce(text, '')))::bigint as size from documents""",
+    "split_segments": """with d as (select source as image, octet_length(encode(coalesce(text, '')))::bigint as size, row_number() over (partition by source order by doc_id) as n from documents)
+      select image, n::int as n, image || '.' || lpad(n::varchar, greatest(3, length(n::varchar))::int, '0') as target,
+        coalesce(sum(size) over (partition by image order by n rows between unbounded preceding and 1 preceding), 0)::bigint as start, size from d where n <= 40""",
     "patch_attribution": _PATCH_SQL,
 }
+_SPANS = ("seed_exact_all", "electrum_seeds", "slip39_shares", "unordered_runs")
+_SHAPES = ("electrum_files", "vault_shapes", "secret_shapes", "descriptors")
+ORACLE["union_detectors"] = f"""with {HITS_SQL}, own as (select target, needle, "offset", match_length from hits
+        union all {" union all ".join(f'select target, needle, start, ("end" - start)::int from ({ORACLE[n]})' for n in _SPANS)}
+        union all {" union all ".join(f'select target, needle, "offset", match_length from ({ORACLE[n]})' for n in _SHAPES)}
+        union all select target, 'mkey', "offset", 66 from ({ORACLE["mkey_records"]})
+        union all select target, 'eth-keystore', "offset", size from (with {EVIDENCE_SQL}, m as (select target, body, regexp_extract(body, '\\{{"address":"[0-9a-f]{{40}}","crypto":.*"version":3\\}}') as x from evidence)
+          select target, {_at("x")} as "offset", length(x)::int as size from m where x <> ''))
+      select needle, count(*) as hits, count(distinct target) as targets, sum("offset")::bigint as offsets, sum(match_length)::bigint as lengths from own group by needle"""
