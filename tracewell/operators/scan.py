@@ -133,6 +133,9 @@ def word_evidence(data: bytes, seeds: WordList, shares: WordList) -> list[dict]:
     loose = [add("bip39-unordered", a, b) for a, b in runs if not any(a <= x and y <= b for x, y in exact + other)]
 
     unknown = np.concatenate([[0], np.cumsum(ixs < 0)])
+    least = words.SEED_LENGTHS[0]
+    if len(ixs) < least or (unknown[least:] - unknown[:-least]).min() > MOST_UNKNOWN:
+        return out  # a longer window with so few unknown words would hold such a window of the least length
     seen: set[tuple] = set()
     for n in words.SEED_LENGTHS:
         if len(start) < n:

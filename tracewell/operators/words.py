@@ -160,7 +160,10 @@ def deletions(word: str, edits: int = 2) -> list[str]:
 def typos(toks: DataFrame, words: DataFrame) -> DataFrame:
     """(word, candidates, least_edits, first_candidate): listed words within two edits of each distinct token of 3 to 10
     letters that isn't listed. Tokens and words meet where they share what is left after up to two deletions, which words
-    within two edits always do, so that no token is held against the whole list."""
+    within two edits always do, so that no token is held against the whole list. The list, of a standard's size (2,048
+    words of up to 8 letters, checked), is broadcast with its rests: under 76,000 rows."""
+    if (n := words.count()) > 2048:
+        raise ValueError(f"a word list of {n} words: at most 2,048 are read")
 
     @F.arrow_udf("array<string>")
     def left(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -169,6 +172,6 @@ def typos(toks: DataFrame, words: DataFrame) -> DataFrame:
 
     own = toks.where(F.length("word").between(3, 10)).select("word").distinct().join(F.broadcast(words.select("word")), "word", "left_anti")
     known = words.select(F.col("word").alias("candidate")).withColumn("key", F.explode(left("candidate")))
-    pairs = own.withColumn("key", F.explode(left("word"))).join(known, "key").select("word", "candidate").distinct()
+    pairs = own.withColumn("key", F.explode(left("word"))).join(F.broadcast(known), "key").select("word", "candidate").distinct()
     near = pairs.withColumn("edits", F.levenshtein("word", "candidate", 2)).where("edits >= 0")
     return near.groupBy("word").agg(F.count("*").alias("candidates"), F.min("edits").alias("least_edits"), F.min("candidate").alias("first_candidate"))

@@ -7,6 +7,7 @@ import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
+from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -150,11 +151,19 @@ def expand(sources: DataFrame, depth: int = DEPTH, most: int = MEMBER) -> DataFr
     return anchored.select("target", "data").mapInArrow(_all_levels(min(depth, DEPTH), most), SCHEMA)
 
 
-def partitions(image: bytes, size: int | None = None) -> list[tuple[str, int, int, int, str]]:
+class Sliced(Protocol):
+    """Bytes that are read where they are sliced, with plain bounds."""
+
+    def __len__(self) -> int: ...
+
+    def __getitem__(self, part: slice) -> bytes: ...
+
+
+def partitions(image: bytes | Sliced, size: int | None = None) -> list[tuple[str, int, int, int, str]]:
     """(scheme, index, start, size, type) of an MBR with its extended chain (64 links at most) or of a GPT whose
     checksums hold (4,096 entries at most). Refuses hybrid and damaged layouts."""
     size = len(image) if size is None else size
-    if len(image) < 512 or image[510:512] != b"\x55\xaa":
+    if image[510:512] != b"\x55\xaa":
         raise ValueError("no partition table")
     u = lambda b, a, n: int.from_bytes(b[a : a + n], "little")
 

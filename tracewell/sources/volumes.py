@@ -128,16 +128,11 @@ def file_reader(path: str) -> Read:
     return read
 
 
-def fs_entries(spark: SparkSession, path: str, base: int = 0) -> DataFrame:
-    rows = [(e.name, e.size, e.deleted, e.note, e.extents) for e in FatVolume(file_reader(path), base).entries()]
-    return spark.createDataFrame(rows, ENTRY)
-
-
 def range_windows(spark: SparkSession, path: str, ranges: list[tuple[int, int]], overlap: int = 2048, step: int = 1 << 20) -> DataFrame:
     """(target, range_ix, win_offset, base, data, raw) windows over byte ranges; a window never reaches into another range,
-    so nothing is found across two."""
-    flat = [(ix, start, a, min(a + step, start + n)) for ix, (start, n) in enumerate(ranges) for a in range(start, start + n, step)]
-    table = spark.createDataFrame(flat, "range_ix int, start bigint, a bigint, b bigint")
+    so nothing is found across two. A range is a row; its windows are exploded by tasks."""
+    table = spark.createDataFrame([(ix, start, start + n) for ix, (start, n) in enumerate(ranges)], "range_ix int, start bigint, stop bigint").where("stop > start")
+    table = table.withColumn("a", F.explode(F.sequence("start", F.col("stop") - 1, F.lit(step).cast("bigint")))).withColumn("b", F.least(F.col("a") + step, "stop"))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = file_reader(path)
@@ -147,28 +142,29 @@ def range_windows(spark: SparkSession, path: str, ranges: list[tuple[int, int]],
                 cols = [pa.array([path]), pa.array([r["range_ix"]], pa.int32()), pa.array([begin]), pa.array([r["a"]]), pa.array([read(begin, r["b"] - begin)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["target", "range_ix", "win_offset", "base", "data"])
 
-    return table.mapInArrow(load, "target string, range_ix int, win_offset bigint, base bigint, data binary").withColumn("raw", latin(F.col("data")))
+    spread = table.repartition(spark.sparkContext.defaultParallelism)  # rows of numbers only
+    return spread.mapInArrow(load, "target string, range_ix int, win_offset bigint, base bigint, data binary").withColumn("raw", latin(F.col("data")))
 
 
-def deleted_hits(spark: SparkSession, path: str, needles: list[str], base: int = 0) -> DataFrame:
-    """Literal hits in deleted files, with file_name taken from the range that holds them, by its number."""
+def _hits(windows: DataFrame, keys: list[str], needles: list[str]) -> DataFrame:
+    """Literal hits that end in a window's new bytes, with the windows' keys."""
     from ..operators.literals import literal_hits
 
-    gone = [e for e in FatVolume(file_reader(path), base).entries() if e.deleted]
-    ranges = [(x, e.name) for e in gone for x in e.extents]
-    windows = range_windows(spark, path, [x for x, _ in ranges])
-    keyed = windows.withColumn("target", F.struct("target", "range_ix", "win_offset", "base"))
+    keyed = windows.withColumn("target", F.struct(*keys, "win_offset", "base"))
     hits = literal_hits(keyed, needles).select("target.*", "needle", "match_length", F.col("offset").alias("within"))
-    hits = hits.select("target", "range_ix", "needle", (F.col("within") + F.col("win_offset")).alias("offset"), "match_length", "base").where("offset + match_length > base")
-    owners = spark.createDataFrame([(ix, name) for ix, (_, name) in enumerate(ranges)], "range_ix int, file_name string")
-    return hits.join(owners, "range_ix").select("target", "needle", "offset", "match_length", "file_name")
+    return hits.select(*keys, "needle", (F.col("within") + F.col("win_offset")).alias("offset"), "match_length", "base").where("offset + match_length > base").drop("base")
 
 
-def free_hits(spark: SparkSession, path: str, needles: list[str], base: int = 0) -> DataFrame:
-    """Literal hits in free space."""
-    from ..operators.literals import literal_hits
+def deleted_hits(spark: SparkSession, path: str, needles: list[str], base: int | None = None) -> DataFrame:
+    """Literal hits in deleted files of any volume, with file_name taken from the range that holds them, by its number."""
+    from .filesystems import deleted_windows
 
-    windows = range_windows(spark, path, FatVolume(file_reader(path), base).free())
-    keyed = windows.withColumn("target", F.struct("target", "win_offset", "base"))
-    hits = literal_hits(keyed, needles).select("target.*", "needle", "match_length", F.col("offset").alias("within"))
-    return hits.select("target", "needle", (F.col("within") + F.col("win_offset")).alias("offset"), "match_length", "base").where("offset + match_length > base").drop("base")
+    windows, owners = deleted_windows(spark, path, base)
+    return _hits(windows, ["target", "range_ix"], needles).join(owners, "range_ix").select("target", "needle", "offset", "match_length", "file_name")
+
+
+def free_hits(spark: SparkSession, path: str, needles: list[str], base: int | None = None) -> DataFrame:
+    """Literal hits in free space of any volume."""
+    from .filesystems import free_windows
+
+    return _hits(free_windows(spark, path, base), ["target"], needles)
