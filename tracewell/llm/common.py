@@ -5,13 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _scratch: dict[str, str] = {}
 
@@ -52,39 +48,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def salted_number(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-CELLS = 1 << 22
+CELLS, PAGE = 1 << 22, 1 << 15  # bits of a sieve, and of one of its pages, as bitmap_construct_agg makes them
 
 
 class Sieve:
-    """A fixed-size bit table over hashes of long keys, broadcast to drop most rows that a join would drop anyway
-    before their texts are shuffled. It has no false negatives, and the join after it stays, so that it never
-    decides a result; beyond some millions of keys it merely lets more through."""
+    """A bit table of fixed size over hashes of long keys, which drops most rows that a join would drop anyway before
+    their texts are shuffled. It has no false negatives, and the join after it stays, so that it never decides a
+    result; beyond some millions of keys it merely lets more through. Its pages, 128 of 4 KB at most, are what is
+    broadcast; it is made and asked by Spark's expressions alone."""
 
     def __init__(self, keys: DataFrame, key: str):
-        cell = F.pmod(F.xxhash64(F.col(key)), F.lit(CELLS)).cast("int")
-        found = keys.select(cell.alias("cell")).where(F.col("cell").isNotNull()).groupBy((F.col("cell") / 4096).cast("int").alias("page")).agg(
-            F.collect_set(F.pmod("cell", F.lit(4096)).cast("short")).alias("cells")
-        )
-        bits = np.zeros(CELLS, bool)
-        for page, cells in found.collect():
-            bits[page * 4096 + np.asarray(cells, np.int64)] = True
-        self.empty = not bits.any()
-        self.bits = keys.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
-
-    def passes(self, column: str) -> F.Column:
-        shared = self.bits
-
-        @F.arrow_udf(T.BooleanType())
-        def sieve(cells: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
-            for c in cells:
-                yield pa.array(bits[c.to_numpy(zero_copy_only=False)])
-
-        return sieve(F.pmod(F.xxhash64(F.col(column)), F.lit(CELLS)).cast("int"))
+        cell = self._cell(key)
+        bits = keys.where(F.col(key).isNotNull()).select(F.floor(cell / PAGE).cast("int").alias("sieve_page"), (cell % PAGE).alias("bit"))
+        self.pages = written(bits.groupBy("sieve_page").agg(F.bitmap_construct_agg("bit").alias("sieve_bits")), "sieve")
+
+    @staticmethod
+    def _cell(key: str) -> F.Column:
+        return F.pmod(F.xxhash64(F.col(key)), F.lit(CELLS))
+
+    def marked(self, rows: DataFrame, key: str, name: str) -> DataFrame:
+        """rows with a boolean column: may the key be among the sieve's? Never null."""
+        own = rows.join(F.broadcast(self.pages), F.floor(self._cell(key) / PAGE).cast("int") == F.col("sieve_page"), "left")
+        bit = (self._cell(key) % PAGE).cast("int")
+        octet = F.conv(F.hex(F.substr("sieve_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        hit = octet.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), bit % 8 + 1)) != 0
+        return own.withColumn(name, F.col(key).isNotNull() & F.coalesce(hit, F.lit(False))).drop("sieve_page", "sieve_bits")
+
+    def passing(self, rows: DataFrame, key: str) -> DataFrame:
+        """Those rows whose key may be among the sieve's."""
+        return self.marked(rows, key, "sieve_hit").where("sieve_hit").drop("sieve_hit")
 
 
 def short_batches(spark: SparkSession) -> None:

@@ -1,13 +1,16 @@
 """Array kernels shared by the text operators: words and their hashes for a whole Arrow batch at once.
 
-Words are maximal runs of bytes outside 0x20 and 0x09-0x0D of a text's UTF-8 form. All hashes are polynomials modulo
-2**64 over randomised byte codes, taken from running sums, so that a batch costs a fixed number of numpy passes
-whatever its number of words. Texts of any length are handled; null counts as empty.
+Words are maximal runs of bytes outside 0x20 and 0x09-0x0D of a text's UTF-8 form. A word's hash is a
+cryptographic digest, computed once for each distinct word of a batch, so that no text can be made whose words collide.
+Windows are hashed by Rabin-Karp polynomials over word hashes modulo the prime 2**61 - 1 at a random base, built by
+doubling, so that a batch costs a fixed number of numpy passes over its words. Texts of any length are handled; null
+counts as empty.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import sys
 from collections.abc import Callable, Iterator
 from typing import TypeVar
@@ -18,30 +21,12 @@ import pyarrow as pa
 T = TypeVar("T")
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+PERSON = b"text operators"
+PRIME = (1 << 61) - 1
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = _CODES.copy()
-_LOWER[65:91] = _CODES[97:123]
-BYTE_BASE = 0x9E3779B97F4A7C15 | 5
-WORD_BASES = (0xD1342543DE82EF95 | 5, 0xAF251AF3B0F025B5 | 5)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept, and doubled when a longer batch comes."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length() if n > 1 else 1)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if size <= 1 << 23:
-            _powers[base] = have
-    return have[:n]
-
-
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
+BASES = tuple(int(x) for x in _rng.integers(1 << 59, PRIME - 1, 2))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,23 +72,72 @@ def words(raw: np.ndarray, at: np.ndarray, outside: np.ndarray = SPACE) -> tuple
     return start, end, np.searchsorted(start, at)
 
 
+def digest(data: bytes) -> bytes:
+    """128 bits of a cryptographic hash."""
+    return hashlib.blake2b(data, digest_size=16, person=PERSON).digest()
+
+
+def word_digests(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Two 64-bit halves of a 128-bit digest of each word, (words, 2); lower: A-Z count as a-z. start and end are
+    those of all words, in order, so that their bytes lie one after another once the others are left out."""
+    n = len(start)
+    if not n:
+        return np.zeros((0, 2), np.uint64)
+    own = np.zeros(len(raw) + 1, np.int8)
+    own[start] += 1
+    own[end] -= 1
+    own = raw[np.cumsum(own, dtype=np.int8)[:-1].view(bool)]
+    if lower:
+        own = _LOWER[own]
+    offsets = np.zeros(n + 1, np.int64)
+    np.cumsum(end - start, out=offsets[1:])
+    coded = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(own)]).dictionary_encode()
+    _, at, data = coded.dictionary.buffers()
+    at, data = np.frombuffer(at, np.int64, len(coded.dictionary) + 1).tolist(), data.to_pybytes()
+    distinct = b"".join([digest(data[a:b]) for a, b in zip(at, at[1:])])
+    return np.frombuffer(distinct, "<u8").reshape(-1, 2)[coded.indices.to_numpy()]
+
+
 def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word, length included; lower: A-Z count as a-z."""
-    n = len(raw)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _CODES)[raw] * powers(BYTE_BASE, n), out=total[1:])
-    back = powers(inverse(BYTE_BASE), n + 1)
-    return mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
+    """The first half of each word's digest."""
+    return word_digests(raw, start, end, lower)[:, 0]
 
 
-def window_hashes(word: np.ndarray, width: int, which: int = 0) -> np.ndarray:
-    """Rabin-Karp hash of each run of width words; one that crosses a text's end is there too and must be masked."""
-    if len(word) < width:
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    p = np.uint64(PRIME)
+    x = (x & p) + (x >> np.uint64(61))
+    x -= p * (x >= p)
+    return x
+
+
+def times(x: np.ndarray, c: int) -> np.ndarray:
+    """x * c modulo PRIME, for x below PRIME: from halves of 31 and 30 bits, as 2**61 counts as 1."""
+    high, low, half = np.uint64(c >> 31), np.uint64(c & 0x7FFFFFFF), np.uint64(31)
+    x1, x0 = x >> half, x & np.uint64(0x7FFFFFFF)
+    middle = x1 * low + x0 * high
+    return _reduced(((x1 * high) << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & np.uint64(0x3FFFFFFF)) << half) + x0 * low)
+
+
+def polynomials(word: np.ndarray, width: int, which: int = 0) -> np.ndarray:
+    """The Rabin-Karp polynomial, modulo PRIME, of each run of width word hashes (a row a run's start); a run of 2k words
+    is one of k words and base**k times the one after it. Runs that cross a text's end are there too and must be masked."""
+    if len(word) < width or not width:
         return np.zeros(0, np.uint64)
-    base, n = WORD_BASES[which], len(word)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(word * powers(base, n), out=total[1:])
-    return mix((total[width:] - total[:-width]) * powers(inverse(base), n)[: n - width + 1])
+    base, one = BASES[which], _reduced(word)
+    have, span = one, 1
+    for bit in bin(width)[3:]:
+        have = _reduced(have[:-span] + times(have[span:], pow(base, span, PRIME)))
+        span *= 2
+        if bit == "1":
+            have = _reduced(have[: len(word) - span] + times(one[span:], pow(base, span, PRIME)))
+            span += 1
+    return have
+
+
+def window_hashes(word: np.ndarray, width: int, which: int = 0) -> np.ndarray:
+    """polynomials with every bit spread over 64 bits."""
+    return mix(polynomials(word, width, which))
 
 
 def window_owner(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

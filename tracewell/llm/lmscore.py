@@ -154,7 +154,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: all documents labelled as of good quality; background: all documents."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    target = docs.where(Sieve(good, "doc_id").passes("doc_id")).join(good, "doc_id", "left_semi")
+    target = Sieve(good, "doc_id").passing(docs, "doc_id").join(good, "doc_id", "left_semi")
     return score(docs, target, docs, vocabulary.default_path())
 
 

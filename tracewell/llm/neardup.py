@@ -2,7 +2,7 @@
 
 1. Each document's distinct word shingles get 160 universal-hash minima, kept as 16-bit numbers, in 40 bands of 4. At a
    similarity of 0.75 a pair shares no band with a chance of about 1 in 4 million. Documents of equal sets form a class,
-   known by a 128-bit sum of its shingles, and only one of a class, its representative, goes on.
+   known by a 128-bit digest of its sorted shingles, and only one of a class, its representative, goes on.
 2. In each bucket of a band all members are held against the bucket's least member: signatures first (a pair whose
    signatures agree in under 55 % is 5.8 standard deviations from 0.75), then the full sets. This settles most members
    of large groups with one comparison each.
@@ -28,7 +28,7 @@ from .components import components
 
 BANDS, ROWS = 40, 4
 HASHES = BANDS * ROWS
-PASS = 0.55
+AGREE = 0.55
 _rng = np.random.Generator(np.random.PCG64(75))
 _A = (_rng.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1))[:, None]
 _B = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)[:, None]
@@ -60,8 +60,8 @@ def features(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernels.chunks(batches, "text"):
             sets = shingle_sets(*kernels.utf8(batch.column("text")), width)
-            one = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            two = np.array([kernels.mix(s ^ np.uint64(0x5555)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+            digests = b"".join([kernels.digest(s.tobytes()) for s in sets])
+            one, two = np.frombuffer(digests, "<i8").reshape(-1, 2).T.copy()
             signs = pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())
             size = pa.array(list(map(len, sets)), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array(one), pa.array(two), signs], ["doc_id", "n_shingles", "h1", "h2", "sign"])
@@ -91,8 +91,7 @@ def bands(classes: DataFrame) -> DataFrame:
 
 def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(id, shingles) of the documents in ids (a column id, distinct). A sieve drops most others before the shuffle."""
-    sieve = Sieve(ids, "id")
-    rows = docs.select(F.col("doc_id").alias("id"), "text").where(sieve.passes("id")).join(ids, "id")
+    rows = Sieve(ids, "id").passing(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(ids, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernels.chunks(batches, "text"):
@@ -109,11 +108,14 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            keep = (_signs(batch.column("sa")) == _signs(batch.column("sb"))).mean(1) >= PASS
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+def _alike(agree: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keep = (_signs(batch.column("sa")) == _signs(batch.column("sb"))).mean(1) >= agree
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
 
 
 def _confirm(percent: int):
@@ -146,7 +148,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-def _pairs(batch: pa.RecordBatch, signs: np.ndarray, step: int = 30_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _pairs(batch: pa.RecordBatch, signs: np.ndarray, agree: float, step: int = 30_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, agreement) of the pairs that this batch's buckets have to settle."""
     key, part, side, comp = (batch.column(c).to_numpy() for c in ("key", "part", "side", "comp"))
     n = len(key)
@@ -166,7 +168,7 @@ def _pairs(batch: pa.RecordBatch, signs: np.ndarray, step: int = 30_000) -> Iter
         for x in range(0, len(i), step):
             p, q = i[x : x + step], j[x : x + step]
             same = (signs[p] == signs[q]).mean(1)
-            good = same >= PASS
+            good = same >= agree
             p, q, same = p[good], q[good], same[good]
             shared = keys[p] == keys[q]
             first = keys[p, shared.argmax(1)] == key[p]  # else an earlier band's bucket settles the pair
@@ -174,20 +176,23 @@ def _pairs(batch: pa.RecordBatch, signs: np.ndarray, step: int = 30_000) -> Iter
                 yield p[first], q[first], same[first]
 
 
-def _open_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _groups(batches):
-        found = np.zeros(batch.num_rows, bool)
-        for i, j, _ in _pairs(batch, _signs(batch.column("sign"))):
-            found[i] = found[j] = True
-        yield batch.select(["key", "id", "comp"]).filter(pa.array(found))
+def _open_members(agree: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _groups(batches):
+            found = np.zeros(batch.num_rows, bool)
+            for i, j, _ in _pairs(batch, _signs(batch.column("sign")), agree):
+                found[i] = found[j] = True
+            yield batch.select(["key", "id", "comp"]).filter(pa.array(found))
+
+    return run
 
 
-def _new_links(percent: int):
+def _new_links(percent: int, agree: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches):
             ids, comp = batch.column("id").to_numpy(), batch.column("comp").to_numpy()
             sets = [np.frombuffer(x, "<u8") for x in batch.column("shingles").to_pylist()]
-            found = list(_pairs(batch, _signs(batch.column("sign"))))
+            found = list(_pairs(batch, _signs(batch.column("sign")), agree))
             out, root = [], {}
 
             def top(c: int) -> int:
@@ -221,13 +226,15 @@ def _dealt(members: DataFrame, block: int) -> DataFrame:
     return rows.drop("blocks", "own", "other")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, block: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, block: int = 2048, agree: float = AGREE) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     docs needs doc_id and text; other columns are ignored. Null, empty and blank texts have no shingle and link with
     nothing. A null doc_id takes no part: its component_id is null and it is kept. Rows that repeat a doc_id are one
     document with several texts: whatever links with one of them is in its component. docs is read several times.
-    An empty table gives an empty result. Texts of any length are compared whole.
+    An empty table gives an empty result. Texts of any length are compared whole. agree: the share of a signature in
+    which a pair must agree before its full sets are compared (0.55 is 5.8 deviations below 0.75); with 0 every pair
+    that shares a band is compared in full.
     """
     short_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -242,7 +249,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, block: i
     signs = classes.select("id", "sign")
     pairs = members.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     pairs = pairs.join(signs.select(F.col("id").alias("a"), F.col("sign").alias("sa")), "a").join(signs.select(F.col("id").alias("b"), F.col("sign").alias("sb")), "b")
-    pairs = written(pairs.mapInArrow(kernels.released(_alike), "a long, b long"), "alike")
+    pairs = written(pairs.mapInArrow(kernels.released(_alike(agree)), "a long, b long"), "alike")
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
     sets = sets_of(docs, ids, width)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
@@ -251,10 +258,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, block: i
 
     named = written(members.select("key", "id").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")), "named")
     open_rows = _dealt(named, block).join(signs, "id").repartition("key", "part").sortWithinPartitions("key", "part", "side")
-    left = written(open_rows.select("key", "part", "side", "id", "comp", "sign").mapInArrow(kernels.released(_open_members), "key long, id long, comp long").distinct(), "open")
+    left = written(open_rows.select("key", "part", "side", "id", "comp", "sign").mapInArrow(kernels.released(_open_members(agree)), "key long, id long, comp long").distinct(), "open")
     more = _dealt(left, block).join(signs, "id").join(sets_of(docs, left.select("id").distinct(), width), "id")
     more = more.repartition("key", "part").sortWithinPartitions("key", "part", "side")
-    found = written(more.select("key", "part", "side", "id", "comp", "sign", "shingles").mapInArrow(kernels.released(_new_links(percent)), "a long, b long"), "found")
+    found = written(more.select("key", "part", "side", "id", "comp", "sign", "shingles").mapInArrow(kernels.released(_new_links(percent, agree)), "a long, b long"), "found")
     last = components(links.unionAll(found)) if not found.isEmpty() else first
 
     own = rows.select("doc_id", "n_shingles", "h1", "h2")

@@ -2,8 +2,9 @@
 
 Every window of every text is hashed. Which windows can stand in two documents is found first through anchors: the
 least hash among the half-length windows inside a window. Equal windows have equal anchors, so a window whose anchor no
-other document has can't repeat; only the others are dealt out and counted, under a 128-bit hash (two independent
-ones), with the least document id of each. Anchors are about a thirteenth as many as windows, and only those of one
+other document has can't repeat; only the others are dealt out and counted, under two hashes of 61 bits (each from its
+own half of the words' digests, at its own base), with the least document id of each. Equal hashes count as equal words:
+two different windows of 10**13 share both with a chance of about 1e-11. Anchors are about a thirteenth as many as windows, and only those of one
 document of a group of equal texts are dealt out: the rest of the group repeat it from end to end.
 
 Repeated windows of a document merge into maximal removal intervals. Counts are aggregated before every shuffle, and
@@ -36,15 +37,11 @@ def anchors(word: np.ndarray, width: int) -> np.ndarray:
     return least
 
 
-def _row_key(texts: pa.Array, word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each text's sequence of words."""
-    out = []
-    for base in kernels.WORD_BASES:
-        w = kernels.mix(word ^ np.uint64(base)) * kernels.powers(base, len(word))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w, dtype=np.uint64)])
-        back = kernels.powers(kernels.inverse(base), len(word) + 1)
-        out.append(kernels.mix((total[first[1:]] - total[first[:-1]]) * back[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64))
-    return out[0], out[1]
+def _row_key(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of a digest of each text's sequence of words, from the words' own digests."""
+    each = [kernels.digest(word[a:b].tobytes()) for a, b in zip(first.tolist(), first[1:].tolist())]
+    both = np.frombuffer(b"".join(each), "<i8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def _sketch(width: int):
@@ -52,10 +49,10 @@ def _sketch(width: int):
         for batch in kernels.chunks(batches, "text"):
             raw, at = kernels.utf8(batch.column("text"))
             start, end, first = kernels.words(raw, at)
-            word = kernels.word_hashes(raw, start, end)
-            one, two = _row_key(batch.column("text"), word, first)
+            word = kernels.word_digests(raw, start, end)
+            one, two = _row_key(word, first)
             places, _ = kernels.window_owner(first, width)
-            least = anchors(word, width)[places].view(np.int64)
+            least = anchors(word[:, 0], width)[places].view(np.int64)
             cut = np.concatenate([[0], np.cumsum(np.maximum(np.diff(first) - width + 1, 0))])
             own = [np.unique(least[a:b]) for a, b in zip(cut.tolist(), cut[1:].tolist())]
             offsets = np.concatenate([[0], np.cumsum(list(map(len, own)))]).astype(np.int32)
@@ -73,16 +70,16 @@ def _windows(width: int):
         for batch in kernels.chunks(batches, "text"):
             raw, at = kernels.utf8(batch.column("text"))
             start, end, first = kernels.words(raw, at)
-            word = kernels.word_hashes(raw, start, end)
+            word = kernels.word_digests(raw, start, end)
             places, owner = kernels.window_owner(first, width)
-            least = anchors(word, width)[places].view(np.int64)
+            least = anchors(word[:, 0], width)[places].view(np.int64)
             shared = batch.column("shared")
             cut = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             wanted = np.zeros(len(places), bool)
             for i in range(batch.num_rows):
                 wanted[cut[i] : cut[i + 1]] = np.isin(least[cut[i] : cut[i + 1]], shared[i].values.to_numpy())
             places, owner = places[wanted], owner[wanted]
-            one, two = (kernels.window_hashes(word, width, k)[places].view(np.int64) for k in (0, 1))
+            one, two = (kernels.window_hashes(word[:, k], width, k)[places].view(np.int64) for k in (0, 1))
             ids, keys = (batch.column(c).to_numpy() for c in ("doc_id", "h1"))
             arrays = [pa.array(x) for x in (one, two, ids[owner], keys[owner], (places - first[owner]).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(arrays, ["w1", "w2", "doc_id", "h1", "place"])
@@ -90,13 +87,11 @@ def _windows(width: int):
     return run
 
 
-def intervals(places: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """Maximal [first, last) word intervals covered by windows at the given places."""
-    places = np.unique(places)
-    if not len(places):
-        return []
-    cut = np.flatnonzero(np.diff(places) > width) + 1
-    return list(zip(places[np.concatenate([[0], cut])].tolist(), (places[np.concatenate([cut - 1, [len(places) - 1]])] + width).tolist()))
+def intervals(places: F.Column, width: int) -> F.Column:
+    """Maximal (first, last) word intervals, last exclusive, covered by windows at the given places (sorted, distinct)."""
+    starts = F.filter(places, lambda p, i: (i == 0) | (p - F.get(places, i - 1) > width))
+    ends = F.filter(places, lambda p, i: (i == F.size(places) - 1) | (F.get(places, i + 1) - p > width))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("first"), (b + width).alias("last")))
 
 
 def _strip(keep: list[str], names: list[str]):
@@ -141,22 +136,13 @@ def removals(docs: DataFrame, width: int = 50) -> DataFrame:
     shared = spread.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     shared = written(shared, "shared-anchors")  # tables on both sides of a join let hot keys be split over tasks
     wanted = written(spread.join(shared, "anchor").groupBy("doc_id", "h1").agg(F.collect_set("anchor").alias("shared")), "shared")
-    sieve = Sieve(wanted, "doc_id")
-    rows = docs.select("doc_id", "text").where(sieve.passes("doc_id")).join(wanted, "doc_id")
+    rows = Sieve(wanted, "doc_id").passing(docs.select("doc_id", "text"), "doc_id").join(wanted, "doc_id")
     # a doc_id may come with several texts; the sketch's key tells them apart
     windows = written(rows.mapInArrow(_windows(width), "w1 long, w2 long, doc_id long, h1 long, place int"), "windows")
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
     least = written(least, "repeated-windows")
     repeats = windows.join(least, ["w1", "w2"]).where("doc_id > lo").groupBy("doc_id", "h1").agg(F.sort_array(F.collect_set("place")).alias("places"))
-    spans = F.aggregate(
-        "places",
-        F.array().cast("array<struct<first:int,last:int>>"),
-        lambda done, p: F.when(
-            F.try_element_at(done, F.lit(-1))["last"] >= p,
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.try_element_at(done, F.lit(-1))["first"].alias("first"), (p + width).alias("last")))),
-        ).otherwise(F.concat(done, F.array(F.struct(p.alias("first"), (p + width).alias("last"))))),
-    )
-    return written(whole.unionAll(repeats.select("doc_id", "h1", spans.alias("removal"))), "removals")
+    return written(whole.unionAll(repeats.select("doc_id", "h1", intervals(F.col("places"), width).alias("removal"))), "removals")
 
 
 def remove_repeats(docs: DataFrame, keep: list[str], names: list[str], width: int = 50) -> DataFrame:
@@ -172,12 +158,9 @@ def remove_repeats(docs: DataFrame, keep: list[str], names: list[str], width: in
     kinds = dict(docs.dtypes)
     cols = list(dict.fromkeys([*keep, "doc_id", "text"]))
     gone = removals(docs, width)
-    sieve = Sieve(gone, "doc_id")
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"{c} {_MADE[c]}" for c in names])
-    rows = docs.select(*cols)
     none = F.lit(None).cast("array<struct<first:int,last:int>>").alias("removal")
-    touched = F.coalesce(sieve.passes("doc_id"), F.lit(False))
-    rows = rows.withColumn("touched", touched)
+    rows = Sieve(gone, "doc_id").marked(docs.select(*cols), "doc_id", "touched")
     free = rows.where("not touched").select(*cols, none)
     found = rows.where("touched").drop("touched").mapInArrow(_keyed(cols), ", ".join([f"`{c}` {kinds[c]}" for c in cols] + ["h1 long"]))
     found = found.join(gone, ["doc_id", "h1"], "left").select(*cols, "removal")
@@ -190,7 +173,7 @@ def _keyed(cols: list[str]):
         for batch in kernels.chunks(batches, "text"):
             raw, at = kernels.utf8(batch.column("text"))
             start, end, first = kernels.words(raw, at)
-            one, _ = _row_key(batch.column("text"), kernels.word_hashes(raw, start, end), first)
+            one, _ = _row_key(kernels.word_digests(raw, start, end), first)
             yield pa.RecordBatch.from_arrays([*batch.select(cols).columns, pa.array(one)], [*cols, "h1"])
 
     return run
