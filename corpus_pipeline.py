@@ -32,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near-duplicates the document with the least doc_id stays."""
     docs = docs.select(*COLUMNS)
     gone = written(neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "near-duplicates")
-    maybe = docs.withColumn("maybe", F.coalesce(Sieve(gone, "doc_id").passes("doc_id"), F.lit(False)))
+    maybe = Sieve(gone, "doc_id").marked(docs, "doc_id", "maybe")
     return maybe.where("not maybe").select(*COLUMNS).unionAll(maybe.where("maybe").join(gone, "doc_id", "left_anti").select(*COLUMNS))
 
 
