@@ -1,24 +1,30 @@
 """Secret scans: patterns of known shape, and a battery of randomness tests for the rest.
 
-Every run of encoded-looking characters is a candidate, or what a pattern of known shape leaves of it. Its encoding is inferred from the characters it uses, and three
-tests ask whether it could be uniform random text of that encoding: chi-squared uniformity of the alphabet, the number
-of runs about the middle code, and serial correlation; Fisher's method combines them. A candidate must also be unlike
-ordinary text: the likelihood ratio of uniform text against a character-pair model of all documents bounds the chance
-that ordinary text looks so random (Markov's inequality makes ``1 / ratio`` a valid p-value at every length).
-
-The false-discovery rate of that second p-value is controlled over the whole corpus by Benjamini-Hochberg, in classes
-of length, as long runs are tested with more power than short ones; the battery's level is shared out in the same way.
-The pair model counts each distinct long run once and leaves out the candidate's own: copies of a secret teach it nothing.
+Every run of encoded-looking characters is a candidate, or what a pattern of known shape leaves of it. Its encoding is
+inferred from the characters it uses, and three tests ask whether it could be uniform random text of that encoding:
+chi-squared uniformity of the alphabet, the number of runs about the middle code, and serial correlation; Fisher's method
+combines them into the battery's p-value. A run that isn't random fails the battery, but a short one of a small alphabet
+may pass it, so a candidate must also be unlike ordinary text: the likelihood ratio of uniform text against a
+character-pair model of all documents bounds the chance that ordinary text looks so random (by Markov's inequality
+``1 / ratio`` is a valid p-value at every length).
+
+False discoveries are controlled over the whole corpus by Benjamini-Hochberg on both p-values, in classes of length, as
+long runs are tested with more power than short ones. On the battery's p-values a discovery is a run that isn't random:
+of those dismissed, at most the share `fair` may be random after all. On the second a discovery is a secret: of those
+reported, at most the share `rate` may be ordinary text. Both are judged over distinct runs, so that copies of one run,
+secret or not, don't move a threshold, and the pair model leaves all long runs out: a secret teaches it nothing.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,46 +52,26 @@ N = len(CODES) + 1
 
 
 def pair_counts(docs: DataFrame) -> np.ndarray:
-    """How often each pair of code characters (all other characters are one) stands side by side in all documents, where
-    each distinct run of LEAST and more code characters counts once, so that a repeated secret doesn't become ordinary."""
-
-    def sums(total: np.ndarray) -> pa.RecordBatch:
-        at = np.flatnonzero(total)
-        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64()), pa.nulls(len(at), pa.string())], ["pair", "n", "run"])
+    """How often each pair of code characters (all other characters are one) stands side by side in the texts outside
+    runs of LEAST and more code characters, which are candidates. A text's border counts as another character."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(N * N, np.int64)
         for batch in kernels.chunks(batches, "text"):
             raw, at = kernels.utf8(batch.column("text"))
-            s = _symbol[raw]
             start, end, _ = kernels.words(raw, at, _outside_code)
             long = end - start >= LEAST
-            start, end = start[long], end[long]
-            edge = np.zeros(len(raw) + 1, np.int64)
-            np.add.at(edge, start, 1)
-            np.add.at(edge, end - 1, -1)
-            own = np.cumsum(edge)[: max(len(raw) - 1, 0)] > 0
-            total += np.bincount((s[:-1] * N + s[1:])[~own], minlength=N * N)
-            runs = sorted({raw[a:b].tobytes().decode() for a, b in zip(start.tolist(), end.tolist())})
-            if runs:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(runs), pa.int32()), pa.nulls(len(runs), pa.int64()), pa.array(runs)], ["pair", "n", "run"])
-        yield sums(total)
-
-    def count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(N * N, np.int64)
-        for batch in kernels.chunks(batches, "run"):
-            raw, at = kernels.utf8(batch.column("run"))
-            s = _symbol[raw]
-            inner = np.ones(max(len(raw) - 1, 0), bool)
-            inner[at[1:-1] - 1] = False
-            total += np.bincount((s[:-1] * N + s[1:])[inner], minlength=N * N)
-        yield sums(total).select(["pair", "n"])
-
-    found = written(docs.select("text").mapInArrow(count, "pair int, n long, run string"), "secret-pairs")
-    once = found.where("run is not null").select("run").distinct().mapInArrow(count_runs, "pair int, n long")
-    rows = found.where("run is null").select("pair", "n").unionAll(once).groupBy("pair").agg(F.sum("n").alias("n")).collect()
+            edge = np.zeros(len(raw) + 1, np.int8)
+            edge[start[long]] += 1
+            edge[end[long]] -= 1
+            s = np.where(np.cumsum(edge, dtype=np.int8)[:-1] > 0, N - 1, _symbol[raw])
+            s = np.insert(s, at[1:], N - 1)
+            total += np.bincount(s[:-1] * N + s[1:], minlength=N * N)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], ["pair", "n"])
+
     out = np.zeros(N * N)
-    for pair, n in rows:
+    for pair, n in docs.select("text").mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         out[pair] = n
     return out.reshape(N, N)
 
@@ -128,13 +114,11 @@ def battery(run: str, alphabet: str) -> float:
 
 def unlike_text(run: str, alphabet: str, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
     """-log10 of a p-value for "ordinary text": the likelihood ratio of uniform text against the pair model, backed off
-    to single characters where a first character is rare, and without what the run itself adds to the counts."""
+    to single characters where a first character is rare."""
     pairs, firsts, single = model
     s = _symbol[np.frombuffer(run.encode(), np.uint8)]
     u, w = s[:-1], s[1:]
-    _, at, times = np.unique(u * N + w, return_inverse=True, return_counts=True)
-    before = np.bincount(u, minlength=N)[u]
-    chance = (np.maximum(pairs[u, w] - times[at], 0) + 8 * single[w]) / (np.maximum(firsts[u] - before, 0) + 8)
+    chance = (pairs[u, w] + 8 * single[w]) / (firsts[u] + 8)
     ratio = -(len(run) - 1) * math.log(len(alphabet)) - float(np.log(chance).sum())
     return max(0.0, ratio / math.log(10))
 
@@ -164,10 +148,17 @@ def rest(runs: list[tuple[int, int]], base: list[tuple[str, int, int]]) -> list[
 
 
 _SPAN = "struct<start:int,kind:int,end:int>"
-_FOUND = f"base array<{_SPAN}>, candidates array<struct<start:int,end:int,class:int,bin:int,fair:double>>"
+_FOUND = f"base array<{_SPAN}>, candidates array<struct<start:int,end:int,class:int,bin:int,odd:int,run:long>>"
 
 
 def _scan(model: tuple[np.ndarray, np.ndarray, np.ndarray], keep: list[str]):
+    def judged(run: str) -> tuple[int, int, int, int]:
+        """Class of length, bins of -log10 of the text model's and of the battery's p-value, and a hash of the run."""
+        alphabet = encoding(run)[1]
+        odd = -math.log10(max(1e-300, battery(run, alphabet)))
+        bins = (min(BINS - 1, int(x / BIN)) for x in (unlike_text(run, alphabet, model), odd))
+        return sum(len(run) >= n for n in LENGTHS) - 1, *bins, xxhash.xxh64_intdigest(run) - (1 << 63)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernels.chunks(batches, "text"):
             raw, at = kernels.utf8(batch.column("text"))
@@ -196,14 +187,10 @@ def _scan(model: tuple[np.ndarray, np.ndarray, np.ndarray], keep: list[str]):
                 base_all.append([{"start": a, "kind": KINDS.index(k), "end": b} for k, a, b in base])
                 cands = []
                 for a, b in rest(points(runs[run_at[i] : run_at[i + 1]]), base):
-                    run = text[a:b]
-                    alphabet = encoding(run)[1]
-                    level = sum(b - a >= n for n in LENGTHS) - 1
-                    score = unlike_text(run, alphabet, model)
-                    cands.append({"start": a, "end": b, "class": level, "bin": min(BINS - 1, int(score / BIN)), "fair": battery(run, alphabet) if score else 0.0})
+                    cands.append(dict(zip(("start", "end", "class", "bin", "odd", "run"), (a, b, *judged(text[a:b])))))
                 cand_all.append(cands)
             span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-            cand = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("class", pa.int32()), ("bin", pa.int32()), ("fair", pa.float64())])
+            cand = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("class", pa.int32()), ("bin", pa.int32()), ("odd", pa.int32()), ("run", pa.int64())])
             arrays = [batch.column(k) for k in keep] + [pa.array(base_all, pa.list_(span)), pa.array(cand_all, pa.list_(cand))]
             yield pa.RecordBatch.from_arrays(arrays, [*keep, "base", "candidates"])
 
@@ -211,10 +198,13 @@ def _scan(model: tuple[np.ndarray, np.ndarray, np.ndarray], keep: list[str]):
 
 
 def thresholds(counts: list[tuple[int, int, int]], rate: float) -> dict[int, int]:
-    """Benjamini-Hochberg on binned p-values, per class of length: the first bin of -log10(p) that is reported."""
+    """Benjamini-Hochberg on binned p-values, per class of length, from (class, bin of -log10 p, runs): the first bin that
+    is a discovery."""
     out = {}
     for level in range(len(LENGTHS)):
-        own = {b: n for c, b, n in counts if c == level}
+        own = Counter()
+        for c, b, n in counts:
+            own[b] += n if c == level else 0
         total, seen, out[level] = sum(own.values()), 0, BINS
         for b in sorted(own, reverse=True):
             seen += own[b]
@@ -227,9 +217,10 @@ def scan(docs: DataFrame, keep: list[str], rate: float = 0.01, fair: float = 0.0
     """keep columns, and spans: array of (start, kind, end), sorted, in code points, end exclusive, kind as in KINDS.
 
     docs needs text and the columns of keep. Null text is empty. Base spans are the patterns' leftmost non-overlapping
-    matches; random ones are added where they overlap none. Repeated rows each keep a row, but count each for the
-    corpus statistics. rate: share of random spans that may be ordinary text; fair: the battery's level.
-    An empty table gives an empty result. A text of any length is scanned whole.
+    matches; random ones are added where they overlap none. Repeated rows each keep a row with the same spans; a run
+    that repeats counts once for the thresholds. rate: share of random spans that may be ordinary text; fair: share of
+    the runs that the battery dismisses that may be random. An empty table gives an empty result. A text of any length
+    is scanned whole.
     """
     short_batches(docs.sparkSession)
     model = text_model(pair_counts(docs))
@@ -237,11 +228,12 @@ def scan(docs: DataFrame, keep: list[str], rate: float = 0.01, fair: float = 0.0
     cols = list(dict.fromkeys([*keep, "text"]))
     found = docs.select(*cols).mapInArrow(_scan(model, keep), ", ".join([*columns, _FOUND]))
     found = written(found, "secret-spans")
-    bins = found.select(F.explode("candidates").alias("c")).groupBy("c.class", "c.bin").count().collect()
-    least = thresholds([tuple(r) for r in bins], rate)
-    limit = F.array(*[F.lit(least[k]) for k in range(len(LENGTHS))])
+    runs = found.select(F.explode("candidates").alias("c")).select("c.run", "c.class", "c.bin", "c.odd").distinct()
+    bins = [tuple(r) for r in runs.groupBy("class", "bin", "odd").count().collect()]
+    random, dismissed = thresholds([(c, b, n) for c, b, _, n in bins], rate), thresholds([(c, o, n) for c, _, o, n in bins], fair)
+    at = lambda found, c: F.get(F.array(*[F.lit(found[k]) for k in range(len(LENGTHS))]), c["class"])
     added = F.transform(
-        F.filter("candidates", lambda c: (c["bin"] >= F.get(limit, c["class"])) & (c["fair"] >= fair)),
+        F.filter("candidates", lambda c: (c["bin"] >= at(random, c)) & (c["odd"] < at(dismissed, c))),
         lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")),
     )
     return found.select(*keep, F.array_sort(F.concat("base", added)).alias("spans"))
