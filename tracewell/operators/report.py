@@ -55,3 +55,15 @@ def without_baseline(hits: DataFrame, reviewed: DataFrame) -> DataFrame:
     known = reviewed.select("fingerprint").where("fingerprint is not null and fingerprint <> ''").distinct()
     keyed = hits.withColumn("key", F.when(F.col("fingerprint") != "", F.col("fingerprint")))
     return keyed.join(known.withColumnRenamed("fingerprint", "key"), "key", "left_anti").drop("key")
+
+
+def steps(hits: DataFrame) -> list[str]:
+    """What to pursue, in order, as words: a note on passwords first where traces are encrypted, and on lost words last
+    where a phrase lacks some. There are as many types as the table of classes has."""
+    found = playbook(hits).orderBy("step").collect()
+    if not found:
+        return ["no traces: nothing to pursue"]
+    encrypted = counts(hits).agg(F.sum("encrypted")).first()[0]
+    first = [f"{encrypted} encrypted traces: they need their password; look for it away from the scanned device"] if encrypted else []
+    last = ["phrases that lack a word or two: scan again with the words revealed, on a machine of your own"] if not hits.where(F.col("needle").endswith("-near-miss")).isEmpty() else []
+    return [*first, *(f"{r.type}: {r.hits} hits" for r in found), *last]

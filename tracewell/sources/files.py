@@ -39,13 +39,13 @@ def read_hits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DETECTION).option("mode", "FAILFAST").json(path)
 
 
-def write_hits(hits: DataFrame, path: str) -> None:
+def write_hits(hits: DataFrame, path: str, mode: str = "error") -> None:
     """One JSON object a line; nulls, and by their columns' own rule zeros and empty lists, are left out."""
     lists = [c for c, t in hits.dtypes if t.startswith("array")]
     out = hits.withColumns({c: F.when(F.size(c) > 0, F.col(c)) for c in lists}) if lists else hits
     if "line" in out.columns:
         out = out.withColumn("line", F.nullif(F.col("line"), F.lit(0)))
-    out.select(F.to_json(F.struct(*out.columns), {"ignoreNullFields": "true"}).alias("value")).write.text(path)
+    out.select(F.to_json(F.struct(*out.columns), {"ignoreNullFields": "true"}).alias("value")).write.mode(mode).text(path)
 
 
 class _Range(InputPartition):

@@ -59,17 +59,32 @@ def carve_files(carves: DataFrame, folder: str) -> DataFrame:
     return carves.select("seq", "target", "needle", "offset", "carve").mapInArrow(write, "seq long, path string")
 
 
-def report_json(hits: DataFrame, most: int = 50) -> dict:
-    """Totals, counts by type and the first `most` hits in order; what a report shows is bounded, its counts aren't."""
+def report_json(hits: DataFrame) -> dict:
+    """Totals, counts by type, what to pursue, and every unique hit in order: the form for machines leaves nothing out."""
+    once = hits.dropDuplicates(["target", "needle", "offset"])
     return {
         "totals": report.totals(hits).first().asDict(),
-        "types": {r.type: r.hits for r in report.counts(hits).collect()},
-        "playbook": [r.type for r in report.playbook(hits).orderBy("step").collect()],
-        "hits": [[r.target, r.offset, r.needle] for r in report.ordered(hits).limit(most).collect()],
-        "coverage_note": "absence of a hit isn't absence of a trace: only what was read was scanned",
+        "types": {r.type: r.hits for r in report.counts(once).collect()},
+        "playbook": report.steps(once),
+        "hits": [[r.target, r.offset, r.needle] for r in report.ordered(once).toLocalIterator()],
+        "coverage_note": COVERAGE,
     }
 
 
+def report_text(hits: DataFrame, most: int = 50) -> str:
+    """The form for readers: totals, types, steps and the first `most` hits, with how many more there are."""
+    once = hits.dropDuplicates(["target", "needle", "offset"])
+    total = report.totals(hits).first()
+    first = report.ordered(once).limit(most).collect()
+    lines = [f"{total.total} hits, {total.unique_hits} unique, {total.duplicates} repeated, in {total.targets} targets"]
+    lines += [f"  {r.type}: {r.hits}" for r in report.counts(once).orderBy("type").collect()] + [f"* {x}" for x in report.steps(once)]
+    lines += [f"{r.target} @{r.offset} {r.needle}" for r in first] + ([f"... and {total.unique_hits - len(first)} more"] if total.unique_hits > len(first) else [])
+    return "\n".join([*lines, COVERAGE])
+
+
+COVERAGE = "absence of a hit isn't absence of a trace: only what was read was scanned"
+
+
 def case_log(sources: DataFrame, skipped: DataFrame | None, path: str) -> None:
     """Appends a record per target: size, SHA-256 and MD5 of its bytes, skipped ranges, and complete or partial."""
     rows = sources.select("target", F.octet_length("data").cast("bigint").alias("size"), F.sha2("data", 256).alias("sha256"), F.md5("data").alias("md5"))
