@@ -21,13 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
 from .common import documents, short_batches
 
-DECAY, ORDER, FAINT, PER, START = 0.5, 3, 0.45, 30, "^"
+DECAY, ORDER, FAINT, PER, START, STEPS = 0.5, 3, 0.45, 30, "^", 1 << 20
 
 
 _DROP = bytes(b for b in range(128) if not chr(b).isalpha())
@@ -49,10 +50,12 @@ def codes(words: list[str], width: int) -> np.ndarray:
 
 
 def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """The subsequence kernel of row i of s with row i of t (code points, -1 and -2 as filling)."""
+    """The subsequence kernel of row i of s with row i of t (code points, -1 and -2 as filling). All sums go row by row
+    in one order, so that a row's value doesn't depend on the rows and the filling beside it."""
     n, p, q = len(s), s.shape[1], t.shape[1]
     before = np.ones((q + 1, p + 1, n), np.float32)
     same = (s.T[None] == t.T[:, None]).astype(np.float32)
+    total = np.zeros(n, np.float32)
     for _ in range(ORDER - 1):
         after = np.zeros_like(before)
         for j in range(1, p + 1):
@@ -61,7 +64,9 @@ def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
                 run = DECAY * run + DECAY * DECAY * same[i - 1, j - 1] * before[i - 1, j - 1]
                 after[i, j] = DECAY * after[i, j - 1] + run
         before = after
-    return DECAY * DECAY * (same * before[:-1, :-1]).sum((0, 1))
+    for row in (same * before[:-1, :-1]).reshape(q * p, n):
+        total += row
+    return DECAY * DECAY * total
 
 
 def reachable(s: np.ndarray, landmarks: list[str]) -> np.ndarray:
@@ -96,7 +101,8 @@ class Model:
     shift: float
 
     def word_vectors(self, words: list[str]) -> np.ndarray:
-        """Kernel values (words, landmarks), 0 if under FAINT, at most 1."""
+        """Kernel values (words, landmarks), 0 if under FAINT, at most 1, in steps of 2**-20: sums of so many of them as a
+        text has words are exact in double precision, whatever their order."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         if not self.landmarks or not words:
             return out
@@ -116,16 +122,17 @@ class Model:
                     ws, ks = w[x : x + step], k[x : x + step]
                     out[rows[ws], ks] = kernel(s[ws], t[ks]) / self.own[ks]
         out[out < FAINT] = 0
-        return np.minimum(out, 1, out=out)
+        return np.round(np.minimum(out, 1, out=out) * STEPS) / np.float32(STEPS)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        margin = x @ self.weights + self.bias
+        margin = (x * self.weights).sum(1) + self.bias  # a matrix product may round a row by the rows beside it
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
 def pool(vectors: np.ndarray, times: np.ndarray, total: int, bad: int) -> np.ndarray:
     """A text's vector: for each landmark the largest value, and the sum over words in relation to the text's length;
     then the largest of the first `bad` landmarks' values, and their sum."""
+    vectors = vectors.astype(np.float64)
     most = vectors.max(0)
     own = most[:bad]
     return np.concatenate([most, np.minimum(PER * (times @ vectors) / (total + PER), 3), [own.max(initial=0), min(own.sum(), 3)]])
@@ -137,7 +144,8 @@ def choose_landmarks(known: list[str], bags: list[np.ndarray], toxic: np.ndarray
     drawn out as long as nearly all its texts stay. Then the most widespread words of the other texts. A mark stands
     for the word's start. known: all words; bags: each text's distinct words, as numbers of known. With it comes how many are from toxic texts."""
     sizes = range(4, 9)
-    codes_of = np.array([[hash(w[:n]) & ~1 if len(w) >= n else 0 for n in sizes] for w in known], np.int64).reshape(-1, len(sizes))
+    spelt = lambda x: xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1 & ~1
+    codes_of = np.array([[spelt(w[:n]) if len(w) >= n else 0 for n in sizes] for w in known], np.int64).reshape(-1, len(sizes))
 
     def grams(bag: np.ndarray) -> np.ndarray:
         """Distinct beginnings of a text's words; an odd number for those of two words and more."""
@@ -220,12 +228,15 @@ def logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a[0]), float(a[1])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(toxic, words, times, total) of at most `most` labelled texts of either class, outside the held-out fold; the ids of the
-    sample, bounded so, are what is broadcast."""
-    own = labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1) and crc32(cast(doc_id as string)) % 4 != 2").distinct()
+def labelled(docs: DataFrame, labels: DataFrame, most: int, longest: int) -> DataFrame:
+    """(doc_id, toxic, words, times, total) of at most `most` labelled texts of either class of at most
+    `longest` characters, outside the held-out fold; the ids of the sample, bounded so, are what is broadcast. A doc_id
+    labelled both ways is left out; of texts that share a doc_id the least stands for all."""
+    own = labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1) and crc32(cast(doc_id as string)) % 4 != 2")
+    own = own.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").select("doc_id", "toxic")
     some = [own.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for t in (0, 1)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(some[0].unionAll(some[1])), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(some[0].unionAll(some[1])), "doc_id")
+    rows = rows.where(F.length(F.coalesce("text", F.lit(""))) <= longest).groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,9 +244,9 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
             words = pa.array([" ".join(c) for c in counts], pa.string())
             times = pa.array([np.array(list(c.values()), "<u4").tobytes() for c in counts], pa.binary())
             total = pa.array([len(_chunks(text)) for text in batch.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), words, times, total], ["toxic", "words", "times", "total"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), words, times, total], ["doc_id", "toxic", "words", "times", "total"])
 
-    return rows.mapInArrow(bags, "toxic int, words string, times binary, total long")
+    return rows.mapInArrow(bags, "doc_id long, toxic int, words string, times binary, total long")
 
 
 def _chunks(text: str | None) -> list[bytes]:
@@ -257,17 +268,18 @@ def _words(text: str | None) -> Counter[str]:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 1500, wanted: int = 48, others: int = 2) -> Model:
-    """Without texts of both classes the model gives every text the same score: the share of toxic ones (or 0)."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = 1500, wanted: int = 48, others: int = 2, longest: int = 1 << 16) -> Model:
+    """Fits on a bounded sample: at most `most` labelled texts of either class, of at most `longest` characters each.
+    Without texts of both classes the model gives every text the same score: the share of toxic ones (or 0)."""
     short_batches(docs.sparkSession)
-    rows = labelled(docs, labels, most).collect()
+    rows = [r[1:] for r in sorted(labelled(docs, labels, most, longest).collect(), key=lambda r: r[0])]
     y = np.array([r[0] == 1 for r in rows], bool)
     if not y.any() or y.all():
         share = float(y.mean()) if len(y) else 0.0
         return Model([], 0, np.zeros(0), np.zeros(0), 0.0, 0.0, 30.0 if share == 1 else -30.0)
     number: dict[str, int] = {}
     bags = [np.fromiter((number.setdefault(w, len(number)) for w in r[1].split()), np.int64) for r in rows]
-    counts, totals = [np.frombuffer(r[2], "<u4").astype(np.float32) for r in rows], [r[3] for r in rows]
+    counts, totals = [np.frombuffer(r[2], "<u4").astype(np.float64) for r in rows], [r[3] for r in rows]
     del rows
     known = list(number)
     marks, bad = choose_landmarks(known, bags, y, wanted, others)
@@ -329,7 +341,7 @@ class _Scorer:
             if np.count_nonzero(single := at == -1) >= 3 and (spelt := _spelt(single, parts)):
                 vectors, times = np.concatenate([vectors, self.model.word_vectors(spelt)]), np.append(times, np.ones(len(spelt), np.int64))
             if len(vectors):
-                x[i] = pool(vectors, times.astype(np.float32), len(parts), self.model.bad)
+                x[i] = pool(vectors, times.astype(np.float64), len(parts), self.model.bad)
         return self.model.score(x)
 
 
@@ -342,7 +354,8 @@ def _scorer(model: Model) -> _Scorer:
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """docs with score (double, 0 to 1) and predicted (int) added, which replace columns of these names.
 
-    docs needs text. Null and empty texts have the score of a text without any insult. Repeated rows score alike.
+    docs needs text. Null and empty texts have the score of a text without any insult. Equal texts score alike,
+    whatever stands beside them: kernel values are kept in steps whose sums are exact.
     """
     short_batches(docs.sparkSession)
     columns = [c for c in docs.columns if c not in ("score", "predicted")]
@@ -360,6 +373,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id is in no fold: its held_out is null; its text is scored as any other."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
