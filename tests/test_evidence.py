@@ -226,3 +226,18 @@ def test_no_matched_words_by_default(spark):
 
     own = words.listed(words.tokens(sources(spark, evidence.words(evidence.SEED))), word_list(spark))
     assert traces._hit(words.seeds(own, 12)).columns == ["target", "needle", "start", "end"]
+
+
+def test_quoted_paths_of_patches(spark):
+    body = (
+        "commit abcd1234\n"
+        'diff --git "a/dir b/caf\\303\\251 \\"x\\".txt" "b/dir b/caf\\303\\251 \\"x\\".txt"\n@@ -0,0 +1 @@\n+hdseed one\n'
+        "diff --git a/old name.txt b/new name.txt\n--- a/old name.txt\t\n+++ b/new name.txt\t\n@@ -1 +7,2 @@\n kept\n+hdseed two\n"
+        'diff --git a/tab b/tab\n--- /dev/null\n+++ "b/ta\\tb"\n@@ -0,0 +1 @@\n+hdseed three\n'
+        "diff --git a/gr\u00fcn b/gr\u00fcn\n@@ -1 +2 @@\n+hdseed four\n"
+    )
+    own = sources(spark, body)
+    from tracewell.operators import literals
+
+    got = {(r.path, r.line) for r in patch.attribute(literals.literal_hits(own, ["hdseed"]).select("target", "needle", "offset"), own).collect()}
+    assert got == {('dir b/caf\u00e9 "x".txt', 1), ("new name.txt", 8), ("ta\tb", 1), ("gr\u00fcn", 2)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,6 +19,27 @@ def lines(sources: DataFrame) -> DataFrame:
     return out.where("text <> ''")
 
 
+def unquoted(path: Column) -> Column:
+    """A path as it is, or out of its C-style quotes: octal numbers are bytes, in the one-character-a-byte view."""
+    inner = F.regexp_extract(path, r'^"(.*)"$', 1)
+    letters = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v"}
+    named = F.create_map(*[F.lit(x) for pair in letters.items() for x in pair])
+
+    def meant(t: Column) -> Column:
+        rest = F.substr(t, F.lit(2))
+        octal = F.char(F.conv(rest, 8, 10).cast("bigint"))
+        return F.when(~t.startswith("\\"), t).when(t.rlike(r"^\\[0-7]{3}$"), octal).otherwise(F.coalesce(F.try_element_at(named, rest), rest))
+
+    spelt = F.array_join(F.transform(F.regexp_extract_all(inner, F.lit(r"(\\[0-7]{3}|\\.|[^\\])"), F.lit(1)), meant), "")
+    return F.when(path.rlike('^".*"$') & (F.length(path) > 1), spelt).otherwise(path)
+
+
+def _side(head: str, pattern: str, side: str) -> Column:
+    """The path that a line beginning with head names, without blanks around it, quotes and the side's prefix; else empty."""
+    found = F.regexp_replace(F.regexp_extract("text", pattern, 1), r"^\s+|\s+$", "")
+    return F.when(F.col("text").startswith(head), F.regexp_replace(unquoted(found), f"^{side}/", "")).otherwise("")
+
+
 def state(rows: DataFrame) -> DataFrame:
     """Adds content, commit, path and line to lines: an island starts at each line that can't be a hunk's content; it is
     a hunk if that line is a closed hunk header; new-file lines count up within it."""
@@ -35,10 +56,10 @@ def state(rows: DataFrame) -> DataFrame:
     commit = F.regexp_extract("text", r"^(?:commit|From) ([0-9a-f]{4,64})\b", 1)
     out = out.withColumn("own_commit", F.when(~F.col("content") & (commit != ""), commit))
     out = out.withColumn("series", F.count("own_commit").over(so_far)).withColumn("commit", F.last("own_commit", True).over(so_far))
-    named = F.regexp_extract("text", r"^diff --git .* b/(.*)$", 1)
+    named = _side("diff --git ", r'^diff --git (?:"(?:[^"\\]|\\.)*"|.*?) ("?b/.*)$', "b")
     combined = F.regexp_extract("text", r"^diff --(?:cc|combined) (.*)$", 1)
-    plus = F.regexp_extract("text", r"^\+\+\+ (?:b/)?(.*)$", 1)
-    minus = F.regexp_extract("text", r"^--- (?:a/)?(.*)$", 1)
+    plus = _side("+++ ", r"^\+\+\+ (.*)$", "b")
+    minus = _side("--- ", r"^--- (.*)$", "a")
     outside = ~F.col("content")
     in_series = Window.partitionBy("target", "series").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumn("old", F.last(F.when(outside & (minus != ""), minus), True).over(in_series))
@@ -47,7 +68,8 @@ def state(rows: DataFrame) -> DataFrame:
     grows = F.left("text", F.lit(1)).isin("+", " ").cast("int")
     before = F.coalesce(F.sum(grows).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     line = F.when(F.col("content") & (grows == 1), F.col("hunk") + before).otherwise(F.lit(0))
-    return out.select("target", "start", "end", "text", "commit", F.coalesce("path", F.lit("")).alias("path"), line.cast("bigint").alias("line"))
+    path = F.encode(F.coalesce("path", F.lit("")), "ISO-8859-1").cast("string")  # its bytes are UTF-8
+    return out.select("target", "start", "end", "text", "commit", path.alias("path"), line.cast("bigint").alias("line"))
 
 
 def attribute(hits: DataFrame, sources: DataFrame) -> DataFrame:
