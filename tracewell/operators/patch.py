@@ -31,13 +31,17 @@ def unquoted(path: Column) -> Column:
         return F.when(~t.startswith("\\"), t).when(t.rlike(r"^\\[0-7]{3}$"), octal).otherwise(F.coalesce(F.try_element_at(named, rest), rest))
 
     spelt = F.array_join(F.transform(F.regexp_extract_all(inner, F.lit(r"(\\[0-7]{3}|\\.|[^\\])"), F.lit(1)), meant), "")
-    return F.when(path.rlike('^".*"$') & (F.length(path) > 1), spelt).otherwise(path)
+    return F.when(path.startswith('"') & path.endswith('"') & (F.length(path) > 1), spelt).otherwise(path)
 
 
-def _side(head: str, pattern: str, side: str) -> Column:
-    """The path that a line beginning with head names, without blanks around it, quotes and the side's prefix; else empty."""
-    found = F.regexp_replace(F.regexp_extract("text", pattern, 1), r"^\s+|\s+$", "")
-    return F.when(F.col("text").startswith(head), F.regexp_replace(unquoted(found), f"^{side}/", "")).otherwise("")
+def _side(text: Column) -> Column:
+    """The path that a header line names, without blanks around it, quotes and the side's prefix; else empty. Only lines
+    that begin as headers do are looked into."""
+    header = text.startswith("diff --git ") | text.startswith("+++ ") | text.startswith("--- ")
+    found = F.when(text.startswith("diff"), F.regexp_extract(text, r'^diff --git (?:"(?:[^"\\]|\\.)*"|.*?) ("?b/.*)$', 1)).otherwise(F.substr(text, F.lit(5)))
+    prefix = F.when(text.startswith("-"), "a/").otherwise("b/")
+    own = unquoted(F.regexp_replace(found, r"^\s+|\s+$", ""))
+    return F.when(header, F.when(own.startswith(prefix), F.substr(own, F.lit(3))).otherwise(own)).otherwise("")
 
 
 def state(rows: DataFrame) -> DataFrame:
@@ -47,7 +51,7 @@ def state(rows: DataFrame) -> DataFrame:
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     shaped = F.left("text", F.lit(1)).isin("+", "-", " ", "\\")
     header = F.regexp_extract("text", r"^@@+ .*\+([0-9]+)(?:,[0-9]+)? @@", 1)
-    out = rows.withColumn("shaped", shaped)
+    out = rows.withColumn("shaped", shaped).withColumn("side", _side(F.col("text")))
     # "+++" and "---" before a hunk are headers: they have content's shape but stand in an island without a hunk
     out = out.withColumn("island", F.sum((~F.col("shaped")).cast("int")).over(so_far))
     own = Window.partitionBy("target", "island").orderBy("n")
@@ -56,10 +60,8 @@ def state(rows: DataFrame) -> DataFrame:
     commit = F.regexp_extract("text", r"^(?:commit|From) ([0-9a-f]{4,64})\b", 1)
     out = out.withColumn("own_commit", F.when(~F.col("content") & (commit != ""), commit))
     out = out.withColumn("series", F.count("own_commit").over(so_far)).withColumn("commit", F.last("own_commit", True).over(so_far))
-    named = _side("diff --git ", r'^diff --git (?:"(?:[^"\\]|\\.)*"|.*?) ("?b/.*)$', "b")
+    named, plus, minus = (F.when(F.col("text").startswith(x), F.col("side")).otherwise("") for x in ("diff --git ", "+++ ", "--- "))
     combined = F.regexp_extract("text", r"^diff --(?:cc|combined) (.*)$", 1)
-    plus = _side("+++ ", r"^\+\+\+ (.*)$", "b")
-    minus = _side("--- ", r"^--- (.*)$", "a")
     outside = ~F.col("content")
     in_series = Window.partitionBy("target", "series").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumn("old", F.last(F.when(outside & (minus != ""), minus), True).over(in_series))
