@@ -64,8 +64,8 @@ def latin(data: Column) -> Column:
 
 
 def sums_before(numbers: Column, step: int = 256) -> Column:
-    """The sum of all numbers (bigint) before each one. It goes by chunks, so that the arrays that an aggregation appends
-    to stay short: its work is in proportion to n * step + (n / step)**2."""
+    """The sum of all numbers (bigint) before each one. Longer arrays go by chunks, so that the arrays that an aggregation
+    appends to stay short: its work is in proportion to n * step + (n / step)**2."""
     whole = F.size(numbers)
     begins = F.when(whole > 0, F.sequence(F.lit(1), F.greatest(whole, F.lit(1)), F.lit(step))).otherwise(F.array().cast("array<int>"))
     parts = F.transform(begins, lambda a: F.slice(numbers, a, step))
@@ -75,7 +75,7 @@ def sums_before(numbers: Column, step: int = 256) -> Column:
         return F.aggregate(values, start, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["sums"], F.array(s["at"])).alias("sums")))["sums"]
 
     totals = running(F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("bigint"), lambda a, n: a + n)))
-    return F.flatten(F.zip_with(parts, totals, lambda p, t: F.transform(running(p), lambda x: x + t)))
+    return F.when(whole <= step, running(numbers)).otherwise(F.flatten(F.zip_with(parts, totals, lambda p, t: F.transform(running(p), lambda x: x + t))))
 
 
 def occurrences(text: Column, literal: str) -> Column:
