@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tracewell.llm import ann, chat, components, neardup, substrings, toxicity
+from tracewell.llm import ann, chat, components, kernels, neardup, substrings, toxicity
 
 WORDS = [a + b + c for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
 
@@ -92,6 +92,53 @@ def test_near_duplicates_with_odd_ids(spark, docs):
     assert neardup.near_duplicates(docs([])).count() == 0
 
 
+def thue_morse(n, a, b):
+    return [a if bin(k).count("1") % 2 else b for k in range(n)]
+
+
+def test_texts_made_to_collide_are_kept_apart(spark, docs):
+    """Polynomial hashes modulo a power of two give the two sequences of a Thue-Morse word and its complement one hash."""
+    one, two = ("".join(thue_morse(1024, *x)) for x in ("ab", "ba"))
+    long = [" ".join(thue_morse(1024, *x)) for x in (("ab", "cd"), ("cd", "ab"))]
+    texts = [" ".join([one] * 50), " ".join([two] * 50), " ".join(f"{one}{k}" for k in range(60)), " ".join(f"{two}{k}" for k in range(60))]
+    near = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(texts)).collect()}
+    assert near == {0: 0, 1: 1, 2: 2, 3: 3}
+    texts += long
+    got = substrings.remove_repeats(docs(texts), ["doc_id"], ["n_words", "n_removed", "kept_sha256"]).collect()
+    assert sorted(map(tuple, got)) == sorted(removed(texts, range(len(texts)), 50))
+
+
+def test_window_hashes_are_polynomials():
+    rng = np.random.default_rng(1)
+    word = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    for which, base in enumerate(kernels.BASES):
+        for width in (1, 2, 5, 25, 50):
+            got = kernels.polynomials(word, width, which).tolist()
+            assert got == [sum(int(word[i + j]) * pow(base, j, kernels.PRIME) for j in range(width)) % kernels.PRIME for i in range(301 - width)]
+    x = np.array([0, 1, kernels.PRIME - 1, 2**60, 2**61 - 2], np.uint64)
+    assert kernels.times(x, kernels.PRIME - 1).tolist() == [int(v) * (kernels.PRIME - 1) % kernels.PRIME for v in x]
+
+
+def test_near_duplicates_without_the_signature_filter(spark, docs):
+    rng = random.Random(17)
+    texts = corpus(rng, 6)
+    _, want = groups(texts, range(len(texts)))
+    for agree in (0.0, 0.55):
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(texts), block=4, agree=agree).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_sieves_never_lose_a_key(spark):
+    from tracewell.llm.common import Sieve
+
+    keys = spark.createDataFrame([(k,) for k in [*range(0, 5000, 7), -3, None]], "k long")
+    rows = spark.createDataFrame([(k, str(k)) for k in [*range(5000), -3, None]], "k long, sieve_page string")
+    rows = rows.withColumnRenamed("sieve_page", "v")
+    got = {r.k: r.m for r in Sieve(keys, "k").marked(rows, "k", "m").collect()}
+    assert len(got) == 5002 and all(got[k] for k in [*range(0, 5000, 7), -3]) and got[None] is False and sum(got.values()) < 760
+    assert Sieve(keys.limit(0), "k").passing(rows, "k").count() == 0
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(100, 140)] + [(500, k) for k in range(600, 640)] + [(7, 7), (None, 3), (640, 639), (1, 2), (2, 1)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -128,7 +175,7 @@ def test_substrings_equal_brute_force(spark, docs, odd, width):
         for _ in range(rng.randrange(4)):
             own += rng.choices(WORDS, k=rng.randrange(30)) + rng.choice([[], *passages])
         texts.append(" ".join(own))
-    texts += [texts[0], texts[3]] + [t for t in odd if t is None or len(t) < 1000]
+    texts += [texts[0], texts[3], *odd]
     ids = rng.sample(range(500), len(texts) - 2) + [None, None]
     rows = substrings.remove_repeats(docs(texts, ids), ["doc_id"], ["n_words", "n_removed", "kept_sha256"], width).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[3])
@@ -238,6 +285,57 @@ def test_toxicity_held_out_and_odd(spark, docs, odd):
     assert toxicity.score(docs([]), model).count() == 0
 
 
+def test_equal_texts_score_alike_whatever_stands_beside_them(spark, docs):
+    rng = random.Random(9)
+    texts, toxic = labelled_texts(rng)
+    table = docs(texts * 3)
+    labels = spark.createDataFrame(list(enumerate(toxic)) + [(5, 0), (5, 1), (6, 1), (6, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs(texts), labels)
+    again = toxicity.fit(docs(texts).repartition(3), labels.repartition(5))
+    assert model.landmarks == again.landmarks and (model.weights == again.weights).all() and (model.bias, model.slope, model.shift) == (again.bias, again.slope, again.shift)
+    got = []
+    for n in (1, 3, 11):
+        toxicity.kernels._kept.clear()
+        got.append({r.doc_id: r.score for r in toxicity.score(table.repartition(n), model).collect()})
+    assert got[0] == got[1] == got[2]
+    assert all(got[0][i] == got[0][i + len(texts)] for i in range(len(texts)))
+
+
+def slow_scores(model, texts):
+    """A text's score from string kernels, pooled over its words one by one."""
+    out = []
+    for text in texts:
+        chunks = (text or "").encode().split()
+        words = [w for w in map(toxicity.plain, chunks) if len(w) >= 3]
+        vectors = []
+        for w in words:
+            own = []
+            for m, k in zip(model.landmarks, model.own):
+                lcs = [[0] * (len(m) + 1) for _ in range(len(w) + 2)]
+                for i, x in enumerate("^" + w, 1):
+                    for j, y in enumerate(m, 1):
+                        lcs[i][j] = lcs[i - 1][j - 1] + 1 if x == y else max(lcs[i - 1][j], lcs[i][j - 1])
+                v = string_kernel("^" + w, m) / float(k) if lcs[len(w) + 1][len(m)] >= len(m) - 1 else 0.0
+                own.append(min(v, 1.0) if v >= toxicity.FAINT else 0.0)
+            vectors.append(own)
+        v = np.array(vectors or [[0.0] * len(model.landmarks)])
+        most = v.max(0)
+        x = np.concatenate([most, np.minimum(toxicity.PER * v.sum(0) / (len(chunks) + toxicity.PER), 3), [most[: model.bad].max(), min(most[: model.bad].sum(), 3)]])
+        if not v.any():
+            x[:] = 0
+        out.append(1 / (1 + np.exp(-(model.slope * (x @ model.weights + model.bias) + model.shift))))
+    return out
+
+
+def test_scores_equal_the_definition(spark, docs, odd):
+    rng = random.Random(1)
+    texts, toxic = labelled_texts(rng)
+    model = toxicity.fit(docs(texts), spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int"))
+    some = texts[:40] + ["some VIL-LAIN said", "the villlain said", "vllain vilain", "", None]
+    got = {r.doc_id: r.score for r in toxicity.score(docs(some), model).collect()}
+    assert np.allclose([got[i] for i in range(len(some))], slow_scores(model, some), atol=1e-4)
+
+
 def test_chats_are_reversible(spark):
     evil = [chat.INJECTION, "&lt;|im_sep|>", "&amp;<|", "a\n<|im_sep|>b", "", None, "<", "|im_end|>", "é🎉"]
     rng = random.Random(7)
@@ -256,6 +354,18 @@ def test_chats_are_reversible(spark):
     assert chat.format_chats(table.limit(0)).count() == 0
 
 
+def test_a_conversation_of_many_turns(spark):
+    """100,000 turns in one conversation, in runs of one role and alternating."""
+    from pyspark.sql import functions as F
+
+    n = 100_000
+    rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when((F.col("id") % 3 == 0) | (F.col("id") > 90_000), "assistant").otherwise("user").alias("role"), F.concat(F.lit("t&"), F.col("id").cast("string")).alias("text"))
+    out = chat.format_chats(rows)
+    got = out.select(F.size(chat.turns_of(F.col("formatted"))).alias("n"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("l"), F.size("loss_spans").alias("s")).first()
+    own = [k for k in range(n) if k % 3 == 0 or k > 90_000]
+    assert got.n == n and got.s == len(own) and got.l == "".join(f"t&{k}" for k in own)
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline as pipeline
 

@@ -34,13 +34,12 @@ def plan_group(sizes: np.ndarray, room: int, linear: float = 1.0, quadratic: flo
     total = int(sizes.sum())
     if not total:
         return []
-    count = -(-total // room)
-    cost, free = np.zeros(count), np.full(count, room, np.int64)
-    out = []
-    queue: list[tuple[int, int, int]] = []
-    for d, n in enumerate(sizes.tolist()):
-        for start in range(0, n, room):
-            queue.append((-min(room, n - start), d, start))
+    # pieces that fill a sequence come first and take one each, in order; the rest share the sequences after them
+    out = [(d, start, room) for d, n in enumerate(sizes.tolist()) for start in range(0, n - room + 1, room)]
+    out = [(d, start, n, s, 0) for s, (d, start, n) in enumerate(out)]
+    full, count = len(out), -(-total // room)
+    cost, free = np.zeros(count - full), np.full(count - full, room, np.int64)
+    queue = [(-(n % room), d, n - n % room) for d, n in enumerate(sizes.tolist()) if n % room]
     heapq.heapify(queue)
     while queue:
         n, d, start = heapq.heappop(queue)
@@ -53,13 +52,13 @@ def plan_group(sizes: np.ndarray, room: int, linear: float = 1.0, quadratic: flo
             s = int(np.argmax(free))
             part = int(free[s])
             heapq.heappush(queue, (-(n - part), d, start + part))
-        out.append((d, start, part, s, room - int(free[s])))
+        out.append((d, start, part, full + s, room - int(free[s])))
         free[s] -= part
         cost[s] += linear * part + quadratic * part * part
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: int = 1, group_tokens: int = 1 << 20, with_ids: bool = False, most_words: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: int = 1, group_tokens: int = 1 << 20, with_ids: bool = False, most_words: int = 400_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if with_ids).
 
     docs needs doc_id and text; other columns, of any name, are ignored. Null or empty text is a document of the end

@@ -81,16 +81,21 @@ class Vocabulary:
 
 
 class _Ids(dict):
-    """Encodes a word when it first comes; emptied when full, which costs time only."""
+    """Encodes a word when it first comes. Holds two generations of words, each up to half of `most`: when the younger is
+    full it becomes the older, and a word that is met again moves up, so that frequent words stay."""
 
     def __init__(self, of: Vocabulary, most: int):
         super().__init__()
-        self.of, self.most = of, most
+        self.of, self.half, self.older = of, max(1, most // 2), {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
-        found = self[word] = self.of.encode_word(word)
+        found = self.older.get(word)
+        if found is None:
+            found = self.of.encode_word(word)
+        self[word] = found
         return found
 
 
