@@ -12,6 +12,7 @@ mean and deviation of the differences in a window around the frame. ``clips`` tu
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -142,7 +143,7 @@ def decode_baseline(jpeg: bytes) -> np.ndarray:
     """Grey samples (height, width) of a baseline DCT JPEG (SOF0), with restart intervals, any sampling, and the
     standard tables where a frame, as in motion-JPEG, has none. Only the first component is kept."""
     quant: dict[int, np.ndarray] = {}
-    tables = {k: {(n, c): s for s, (c, n) in huffman(t).items()} for k, t in STANDARD.items()}
+    tables = {k: peeks(huffman(t)) for k, t in STANDARD.items()}
     at, restart, parts, height, width = 2, 0, [], 0, 0
     scan = []
     while at < len(jpeg):
@@ -157,7 +158,7 @@ def decode_baseline(jpeg: bytes) -> np.ndarray:
         elif marker == 0xC4:
             while body:
                 counts = list(body[1:17])
-                tables[body[0]] = {(n, c): s for s, (c, n) in huffman((counts, list(body[17 : 17 + sum(counts)]))).items()}
+                tables[body[0]] = peeks(huffman((counts, list(body[17 : 17 + sum(counts)]))))
                 body = body[17 + sum(counts) :]
         elif marker == 0xC0:
             height, width, k = struct.unpack_from(">HHB", body, 1)
@@ -169,41 +170,40 @@ def decode_baseline(jpeg: bytes) -> np.ndarray:
         elif marker == 0xDA:
             scan = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
             break
-    data, order = jpeg[at:], zigzag()
+    if not parts or not scan:
+        raise ValueError("a frame without a scan")
+    tail = re.search(rb"\xff[^\x00\xd0-\xd7]", jpeg[at:], re.S)
+    pieces = re.split(rb"\xff[\xd0-\xd7]", jpeg[at : at + tail.start()] if tail else jpeg[at:])
     wave = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (0.5 if u else 8**-0.5) for u in range(8)] for x in range(8)])
     high_h, high_v = max(p[1] for p in parts), max(p[2] for p in parts)
     across, down = -(-width // (8 * high_h)), -(-height // (8 * high_v))
-    out = np.zeros((down * 8 * parts[0][2], across * 8 * parts[0][1]))
-    pos = acc = have = 0
-
-    def bit() -> int:
-        nonlocal pos, acc, have
-        if not have:
-            acc = data[pos] if pos < len(data) else 255
-            pos += 2 if acc == 255 and data[pos + 1 : pos + 2] == b"\0" else 1
-            have = 8
-        have -= 1
-        return acc >> have & 1
-
-    def symbol(table: dict) -> int:
-        code = 0
-        for n in range(1, 17):
-            code = code << 1 | bit()
-            if (n, code) in table:
-                return table[n, code]
-        raise ValueError("no such Huffman code")
+    if across * down * sum(p[1] * p[2] for p in parts) * 2 > 8 * (len(jpeg) - at):  # a block has two codes, of a bit at least
+        raise ValueError("a frame claims more blocks than its bytes can hold")
+    out, order = np.zeros((down * 8 * parts[0][2], across * 8 * parts[0][1])), zigzag()
+    data, pos = b"", 0
+
+    def symbol(table: tuple[list[int], list[int]]) -> int:
+        nonlocal pos
+        peek = int.from_bytes(data[pos >> 3 : (pos >> 3) + 3]) >> 8 - (pos & 7) & 0xFFFF
+        if not table[0][peek]:
+            raise ValueError("no such Huffman code")
+        pos += table[0][peek]
+        return table[1][peek]
 
     def signed(n: int) -> int:
-        v = 0
-        for _ in range(n):
-            v = v << 1 | bit()
+        nonlocal pos
+        v = int.from_bytes(data[pos >> 3 : (pos >> 3) + 3]) >> 24 - (pos & 7) - n & (1 << n) - 1
+        pos += n
         return v if not n or v >> n - 1 else v - (1 << n) + 1
 
     dc = [0] * len(parts)
     for m in range(across * down):
-        if restart and m and m % restart == 0:
-            have, dc = 0, [0] * len(parts)
-            pos = data.index(b"\xff", pos) + 2
+        if m == 0 or restart and m % restart == 0:
+            if not pieces:
+                raise ValueError("a frame ends before its last restart")
+            data, pos, dc = pieces.pop(0).replace(b"\xff\0", b"\xff") + b"\xff\xff\xff", 0, [0] * len(parts)
+        if pos >> 3 > len(data):
+            raise ValueError("a frame ends before its last block")
         for i, (part, (_, dc_id, ac_id)) in enumerate(zip(parts, scan)):
             for v in range(part[2]):
                 for h in range(part[1]):
@@ -225,6 +225,14 @@ def decode_baseline(jpeg: bytes) -> np.ndarray:
     return np.clip(np.rint(out[:height, :width] + 128), 0, 255).astype(np.uint8)
 
 
+def peeks(table: dict[int, tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Length (0: none) and symbol of the code that the next 16 bits begin with."""
+    used, value = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+    for s, (code, n) in table.items():
+        used[code << 16 - n : code + 1 << 16 - n], value[code << 16 - n : code + 1 << 16 - n] = n, s
+    return used.tolist(), value.tolist()
+
+
 def zigzag() -> list[int]:
     """Raster place of each coefficient in zigzag order."""
     return sorted(range(64), key=lambda i: ((s := i // 8 + i % 8), i // 8 if s % 2 else i % 8))
@@ -327,7 +335,7 @@ def clips(media: DataFrame, key: str, column: str) -> DataFrame:
                 try:
                     frames, fps = frames_of(avi)
                     out += [(i, k, a, b - a, a / fps, b / fps, None) for k, (a, b) in enumerate(shots(frames))]
-                except (ValueError, IndexError, KeyError, struct.error) as e:
+                except (ValueError, IndexError, KeyError, TypeError, ZeroDivisionError, MemoryError, struct.error) as e:
                     out.append((i, None, None, None, None, None, str(e)[:200]))
             cols = list(zip(*out)) or [[]] * 7
             types = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string()]
