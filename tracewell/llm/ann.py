@@ -8,6 +8,8 @@ original numbers in double precision.
 
 Queries and vectors are dealt out in blocks of bounded size and every block of queries meets every block of vectors in
 one task; each gives its best k, and the best of these are kept. The index holds every row; only the mean is shared.
+Vectors travel as they are stored (single precision stays so) and are widened where they are used. With blocks of b
+vectors and c queries, n vectors and m queries, n * m / c + n * m / b rows are shuffled.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ def rotation(dim: int, seed: int = 17) -> np.ndarray:
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
     """(id, v) of rows with a key and a vector that isn't null, zero or empty and has only finite components."""
-    c = F.col(column).cast("array<double>")
+    kind = dict(vectors.dtypes)[column]
+    c = F.col(column).cast(kind if kind == "array<float>" else "array<double>")
     fine = F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != math.inf)) & F.exists(c, lambda x: x != 0)
     return vectors.select(F.col(key).cast("long").alias("id"), c.alias("v")).where(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)))
 
@@ -65,7 +68,7 @@ def _by_dim(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     flat, start = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()[:-1]
     for dim in np.unique(size).tolist():
         rows = np.flatnonzero(size == dim)
-        yield dim, rows, flat[(start[rows][:, None] + np.arange(dim)).ravel()].reshape(-1, dim)
+        yield dim, rows, flat[(start[rows][:, None] + np.arange(dim)).ravel()].reshape(-1, dim).astype(np.float64)
 
 
 def index(rows: DataFrame, centre: dict[int, tuple[int, np.ndarray]]) -> DataFrame:
@@ -83,7 +86,7 @@ def index(rows: DataFrame, centre: dict[int, tuple[int, np.ndarray]]) -> DataFra
                 kinds = [pa.array(np.full(len(at), dim, np.int32)), pa.array(codes, pa.binary()), pa.array(length), pa.array(cosine)]
                 yield pa.RecordBatch.from_arrays([own.column("id"), *kinds, own.column("v")], ["id", "dim", "code", "length", "cosine", "v"])
 
-    return rows.select("id", "v").mapInArrow(encode, "id long, dim int, code binary, length double, cosine double, v array<double>")
+    return rows.select("id", "v").mapInArrow(encode, f"id long, dim int, code binary, length double, cosine double, v {dict(rows.dtypes)['v']}")
 
 
 def exact(q: np.ndarray, v: np.ndarray, row: np.ndarray, at: np.ndarray, step: int = 1 << 15) -> np.ndarray:
@@ -143,7 +146,7 @@ def _search(k: int, mean: dict[int, np.ndarray], sure: float, slab: int = 128):
     return run
 
 
-def search(vectors: DataFrame, queries: F.Column, k: int = 20, key: str = "vec_id", column: str = "embedding", sure: float = SURE, block: int = 16384, query_block: int = 2048) -> DataFrame:
+def search(vectors: DataFrame, queries: F.Column, k: int = 20, key: str = "vec_id", column: str = "embedding", sure: float = SURE, block: int = 16384, query_block: int = 8192) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest of each row for which `queries` holds, among all other
     rows of the same dimension, by inner product; ties go to the smaller id.
 
