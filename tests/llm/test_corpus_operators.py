@@ -390,3 +390,27 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert kept[n + 4].text.startswith("key [SECRET] ") and kept[n + 5].text is None
     pieces = pipeline.run(spark, str(tmp_path)).toPandas()
     assert set(pieces.doc_id) == set(kept)
+
+
+def test_pipeline_of_odd_rows_and_of_none(spark, docs, tmp_path):
+    import corpus_pipeline as pipeline
+
+    same = " ".join(WORDS[:80])
+    texts, ids = [None, "", same, same, same, "word", None, same + " x"], [1, 2, 9, 4, None, 9, None, 4]
+    for name, rows in (("odd", docs(texts, ids, extra=False)), ("none", docs([], extra=False))):
+        folder = tmp_path / name
+        rows.write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([(1, 0), (None, 1)], "doc_id long, toxic int").write.parquet(str(folder / "labels.parquet"))
+        pieces = pipeline.run(spark, str(folder)).toPandas()
+        # 9 repeats 4 by one of its rows and goes with both; what has no id stays as it is
+        assert sorted(map(str, pieces.doc_id.astype("Int64"))) == (["1", "2", "4", "4", "<NA>", "<NA>"] if name == "odd" else [])
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tracewell.llm import common
+
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))

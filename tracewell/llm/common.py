@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +15,14 @@ _scratch: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir as the cluster names it; where it is unset, as
-    in tests on one machine, a temporary folder that this session sets."""
+    """The folder that driver and executors share: spark.checkpoint.dir as the cluster names it. Where it is unset a
+    session on one machine, as in tests, sets a temporary folder; on a cluster that would be a folder of each machine's
+    own, from which tables would be read with parts missing, so that it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="tracewell-")
         spark.sparkContext.setCheckpointDir(found)
@@ -41,13 +46,27 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, survives lost executors and isn't computed twice."""
     path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
+    _tables.append(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_tables: list[str] = []
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make returns as a table, after which the tables that were written for it go."""
+    mark = len(_tables)
+    out = written(make(), name)
+    for path in _tables[mark:-1]:
+        _remove(spark, path)
+    del _tables[mark:-1]
+    return out
+
+
 CELLS, PAGE = 1 << 22, 1 << 15  # bits of a sieve, and of one of its pages, as bitmap_construct_agg makes them
 
 
