@@ -2,15 +2,21 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame, which is written as Parquet
 and read again as the next one's docs. All but the last return the columns of `documents`; extra columns are dropped.
+
+In all stages a null text is empty, has no words and no secrets and isn't toxic; a null doc_id takes no part in comparisons,
+so that its row stays as it is; rows that repeat a doc_id are kept or dropped together by near-duplicates and scored, cut and
+packed each for itself; of equal documents the least doc_id stays. An empty table gives empty ones all the way.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import neardup, packing, secrets, substrings, toxicity, vocabulary
-from tracewell.llm.common import Sieve, documents, written
+from tracewell.llm.common import Sieve, documents, settled, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -67,5 +73,5 @@ ORACLE_SQL = None  # no stage's kernel machine, tokenizer or test battery has an
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = settled(spark, partial(stage, spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
