@@ -223,15 +223,59 @@ def descriptor_checksum(body: str) -> str | None:
     return "".join(DESCRIPTOR_OUTPUT[(c ^ 1) >> 5 * (7 - n) & 31] for n in range(8))
 
 
+_POWERS = [[1, 2, 4, 8, 16]]
+
+
+def _carried(v: int, n: int) -> int:
+    """What a five-bit value adds to the checksum that n values follow it."""
+    while len(_POWERS) <= n:
+        row = []
+        for c in _POWERS[-1]:
+            top, c = c >> 35, (c & 0x7FFFFFFFF) << 5
+            for k, g in enumerate(DESCRIPTOR_GENERATORS):
+                c ^= g if top >> k & 1 else 0
+            row.append(c)
+        _POWERS.append(row)
+    out = 0
+    for k, c in enumerate(_POWERS[n]):
+        out ^= c if v >> k & 1 else 0
+    return out
+
+
+def descriptor_fits(body: str, want: str) -> set[int]:
+    """All places from which on the rest of body has this checksum. The checksum is linear, so that the sum from a place is
+    that from three characters later and what these three add: as many steps as there are characters."""
+    target = 0
+    for x in want:
+        target = target << 5 | DESCRIPTOR_OUTPUT.index(x)
+    size, sums, out = len(body), [0] * (len(body) + 3), set()
+    for s in range(size - 1, -1, -1):
+        places = [DESCRIPTOR_INPUT.find(x) for x in body[s : s + 3]]
+        if places[0] < 0:
+            break
+        after, group = max(0, size - s - 3), 0
+        after += 8 + (after + 2) // 3
+        for p in places:
+            group = group * 3 + (p >> 5)
+        values = [group, *(p & 31 for p in reversed(places))]
+        sums[s] = sums[s + 3]
+        for n, v in enumerate(values):
+            sums[s] ^= _carried(v, after + n)
+        if sums[s] ^ _carried(1, after + len(values)) ^ 1 == target:
+            out.add(s)
+    return out
+
+
 def descriptor_start(text: str) -> int:
-    """Where the descriptor begins that the checksum at text's end fits: the nearest of up to 64 bodies; -1 if none."""
+    """Where the descriptor begins that the checksum at text's end fits: the nearest of up to 64 bodies; -1 if none. A name
+    is all characters of names before its bracket or, if none fits, what follows a text that touches it."""
     body, _, want = text.rpartition("#")
-    for n, m in enumerate(reversed(list(re.finditer(r"[A-Za-z0-9_]+(?=\()", body)))):
-        if n == 64:
-            break
-        if len(body) - m.start() >= 12 and descriptor_checksum(body[m.start() :]) == want:
-            return m.start()
-    return -1
+    names = [m.span() for m in re.finditer(r"[A-Za-z0-9_]+(?=\()", body)][:-65:-1]
+    for a, _ in names:
+        if len(body) - a >= 12 and descriptor_checksum(body[a:]) == want:
+            return a
+    fits = descriptor_fits(body, want)
+    return next((s for a, b in names for s in range(a, b) if s in fits and len(body) - s >= 12), -1)
 
 
 def descriptor_spans(raw: str) -> list[tuple[int, int]]:
