@@ -12,7 +12,6 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -201,7 +200,8 @@ def keystore_parameters(stores: DataFrame) -> DataFrame:
 DESCRIPTOR_INPUT = "0123456789()[],'/*abcdefgh@:$%{}" + "IJKLMNOPQRSTUVWXYZ&+-.;<=>?!^_|~" + "ijklmnopqrstuvwxyzABCDEFGH`#\"\\ "
 DESCRIPTOR_OUTPUT = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
 DESCRIPTOR_GENERATORS = [0xF5DEE51989, 0xA9FDCA3312, 0x1BAB10E32D, 0x3706B1677A, 0x644D626FFD]
-DESCRIPTOR = r"(?s)[A-Za-z0-9_]+\([^#]{1,2040}\)#[" + DESCRIPTOR_OUTPUT + r"]{8}(?![" + DESCRIPTOR_OUTPUT + r"])"
+DESCRIPTOR_END = r"\)#[" + DESCRIPTOR_OUTPUT + r"]{8}(?![" + DESCRIPTOR_OUTPUT + r"])"
+_NAME = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]++(?=\()")
 
 
 def descriptor_checksum(body: str) -> str | None:
@@ -223,73 +223,82 @@ def descriptor_checksum(body: str) -> str | None:
     return "".join(DESCRIPTOR_OUTPUT[(c ^ 1) >> 5 * (7 - n) & 31] for n in range(8))
 
 
-_POWERS = [[1, 2, 4, 8, 16]]
+def _steps_back() -> list[int]:
+    """By a sum's last five bits: what to add to the other bits for the sum before a step."""
+    out = [0] * 32
+    for top in range(32):
+        mixed = 0
+        for n, g in enumerate(DESCRIPTOR_GENERATORS):
+            mixed ^= g if top >> n & 1 else 0
+        out[mixed & 31] = top << 35 ^ mixed >> 5
+    return out
 
 
-def _carried(v: int, n: int) -> int:
-    """What a five-bit value adds to the checksum that n values follow it."""
-    while len(_POWERS) <= n:
-        row = []
-        for c in _POWERS[-1]:
-            top, c = c >> 35, (c & 0x7FFFFFFFF) << 5
-            for k, g in enumerate(DESCRIPTOR_GENERATORS):
-                c ^= g if top >> k & 1 else 0
-            row.append(c)
-        _POWERS.append(row)
-    out = 0
-    for k, c in enumerate(_POWERS[n]):
-        out ^= c if v >> k & 1 else 0
-    return out
+_PLACES, _BACK = {x: n for n, x in enumerate(DESCRIPTOR_INPUT)}, _steps_back()
 
 
 def descriptor_fits(body: str, want: str) -> set[int]:
-    """All places from which on the rest of body has this checksum. The checksum is linear, so that the sum from a place is
-    that from three characters later and what these three add: as many steps as there are characters."""
-    target = 0
+    """All places from which on the rest of body has this checksum. The steps of a checksum can be taken back, from its end to
+    the sum before a place, which has to be 1. Characters go by threes, so that a place goes on from the sum before the place
+    three later: four steps a character, however long body is, and nothing kept but three sums."""
+    end = 0
     for x in want:
-        target = target << 5 | DESCRIPTOR_OUTPUT.index(x)
-    size, sums, out = len(body), [0] * (len(body) + 3), set()
-    for s in range(size - 1, -1, -1):
-        places = [DESCRIPTOR_INPUT.find(x) for x in body[s : s + 3]]
-        if places[0] < 0:
+        end = end << 5 | DESCRIPTOR_OUTPUT.index(x)
+    end ^= 1
+    for _ in range(8):
+        end = end >> 5 ^ _BACK[end & 31]
+    sums, three, out = (end, end, end), (), set()
+    for s in range(len(body) - 1, -1, -1):
+        place = _PLACES.get(body[s])
+        if place is None:
             break
-        after, group = max(0, size - s - 3), 0
-        after += 8 + (after + 2) // 3
-        for p in places:
+        three, group, c = (place, *three[:2]), 0, sums[2]
+        for p in three:
             group = group * 3 + (p >> 5)
-        values = [group, *(p & 31 for p in reversed(places))]
-        sums[s] = sums[s + 3]
-        for n, v in enumerate(values):
-            sums[s] ^= _carried(v, after + n)
-        if sums[s] ^ _carried(1, after + len(values)) ^ 1 == target:
+        c ^= group
+        c = c >> 5 ^ _BACK[c & 31]
+        for p in reversed(three):
+            c ^= p & 31
+            c = c >> 5 ^ _BACK[c & 31]
+        sums = (c, *sums[:2])
+        if c == 1:
             out.add(s)
     return out
 
 
 def descriptor_start(text: str) -> int:
-    """Where the descriptor begins that the checksum at text's end fits: the nearest of up to 64 bodies; -1 if none. A name
-    is all characters of names before its bracket or, if none fits, what follows a text that touches it."""
+    """Where the descriptor begins that the checksum at text's end fits: the nearest of all bodies, however many brackets and
+    characters they have; -1 if none. A name is all characters of names before its bracket or, if none fits, what follows a
+    text that touches it."""
     body, _, want = text.rpartition("#")
-    names = [m.span() for m in re.finditer(r"[A-Za-z0-9_]+(?=\()", body)][:-65:-1]
-    for a, _ in names:
-        if len(body) - a >= 12 and descriptor_checksum(body[a:]) == want:
-            return a
-    fits = descriptor_fits(body, want)
-    return next((s for a, b in names for s in range(a, b) if s in fits and len(body) - s >= 12), -1)
+    names = [m.span() for m in _NAME.finditer(body)]
+    first = names[0][0] if names else len(body)
+    fits = {first + s for s in descriptor_fits(body[first:], want) if len(body) - first - s >= 12}
+    if not fits:
+        return -1
+    whole = (a for a, _ in reversed(names) if a in fits)
+    return next(whole, next((s for a, b in reversed(names) for s in range(a, b) if s in fits), -1))
 
 
 def descriptor_spans(raw: str) -> list[tuple[int, int]]:
-    """(offset, length) of the descriptors of a text."""
-    found = [(m.start(), m[0], descriptor_start(m[0])) for m in re.finditer(DESCRIPTOR, raw)]
-    return [(at + skip, len(text) - skip) for at, text, skip in found if skip >= 0]
+    """(offset, length) of the descriptors of a text: a body holds no "#", so that each character is in one body at most."""
+    out = []
+    for m in re.finditer(DESCRIPTOR_END, raw):
+        low = raw.rfind("#", 0, m.start()) + 1
+        skip = descriptor_start(raw[low : m.end()])
+        if skip >= 0:
+            out.append((low + skip, m.end() - low - skip))
+    return out
 
 
 def descriptors(sources: DataFrame) -> DataFrame:
-    """Checksummed descriptors: target, needle, offset, match_length."""
+    """Checksummed descriptors: target, needle, offset, match_length; the cheap anchor test comes first."""
 
-    @F.pandas_udf("int")
-    def start(texts: pd.Series) -> pd.Series:
-        return texts.map(descriptor_start).astype("int32")
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(t, a, n) for t, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for a, n in descriptor_spans(data.decode("latin-1"))]
+            cols = list(zip(*rows)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32()))], ["target", "offset", "match_length"])
 
-    rows = found(sources, "descriptor", DESCRIPTOR, ")#").withColumn("skip", start("text")).where("skip >= 0")
-    return rows.select("target", "needle", (F.col("offset") + F.col("skip")).alias("offset"), (F.col("match_length") - F.col("skip")).alias("match_length"))
+    rows = sources.where(F.col("raw").contains(")#") & F.col("raw").rlike(DESCRIPTOR_END)).select("target", "data")
+    return rows.mapInArrow(spans, "target string, offset bigint, match_length int").select("target", F.lit("descriptor").alias("needle"), "offset", "match_length")
