@@ -234,33 +234,38 @@ def _steps_back() -> list[int]:
     return out
 
 
-_PLACES, _BACK = {x: n for n, x in enumerate(DESCRIPTOR_INPUT)}, _steps_back()
+_BACK = _steps_back()
+_BACK_TWO = [(x >> 5 ^ _BACK[x & 31]) >> 5 ^ _BACK[(x >> 5 ^ _BACK[x & 31]) & 31] for x in range(1024)]
+_PLACES = {x: n for n, x in enumerate(DESCRIPTOR_INPUT)}
+#: What a character adds to the four values of three characters, the group's in the last five bits, by its place in them.
+_FIRST, _SECOND, _THIRD = ({x: (p & 31) << 15 - 5 * k | (p >> 5) * 3 ** (2 - k) for x, p in _PLACES.items()} for k in range(3))
 
 
 def descriptor_fits(body: str, want: str) -> set[int]:
     """All places from which on the rest of body has this checksum. The steps of a checksum can be taken back, from its end to
     the sum before a place, which has to be 1. Characters go by threes, so that a place goes on from the sum before the place
-    three later: four steps a character, however long body is, and nothing kept but three sums."""
+    three later: four steps a character, two at once, however long body is, and nothing kept but three sums."""
     end = 0
     for x in want:
         end = end << 5 | DESCRIPTOR_OUTPUT.index(x)
     end ^= 1
     for _ in range(8):
         end = end >> 5 ^ _BACK[end & 31]
-    sums, three, out = (end, end, end), (), set()
-    for s in range(len(body) - 1, -1, -1):
-        place = _PLACES.get(body[s])
-        if place is None:
+    size, one, two, three, out = len(body), end, end, end, set()
+    for s in range(size - 1, -1, -1):
+        if body[s] not in _PLACES:
             break
-        three, group, c = (place, *three[:2]), 0, sums[2]
-        for p in three:
-            group = group * 3 + (p >> 5)
-        c ^= group
-        c = c >> 5 ^ _BACK[c & 31]
-        for p in reversed(three):
-            c ^= p & 31
-            c = c >> 5 ^ _BACK[c & 31]
-        sums = (c, *sums[:2])
+        if s < size - 2:
+            c = three ^ _FIRST[body[s]] + _SECOND[body[s + 1]] + _THIRD[body[s + 2]]
+            c = c >> 10 ^ _BACK_TWO[c & 1023]
+            c = c >> 10 ^ _BACK_TWO[c & 1023]
+        else:
+            places, group, c = [_PLACES[x] for x in body[s:]], 0, end
+            for p in places:
+                group = group * 3 + (p >> 5)
+            for v in (group, *(p & 31 for p in reversed(places))):
+                c = (c ^ v) >> 5 ^ _BACK[(c ^ v) & 31]
+        one, two, three = c, one, two
         if c == 1:
             out.add(s)
     return out
